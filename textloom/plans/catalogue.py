@@ -1,0 +1,6 @@
+"""Registered queries and the DuckDB SQL that gives the same rows."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
