@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import chat, mixing, substring_dedup, suffix_index
-from textloom.session import ship
+from textloom.llm import chat, mixing, packing, substring_dedup, suffix_index, token_store
+from textloom.llm.tokens import tokenizer_path
+from textloom.session import scratch, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,16 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch(spark, "tokens")
+    token_store.write_tokens(table(spark, sf_dir, "documents"), out, tokenizer_path("word_bpe_49k.json"))
+    return token_store.digests(spark, out)
+
+
+def op8_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -40,7 +51,7 @@ def op10_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_mix_sources, op9_chat_format, op10_suffix_index)
+    for f in (op1_substring_dedup, op2_mix_sources, op6_token_store, op8_pack_documents, op9_chat_format, op10_suffix_index)
 }
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
