@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import chat, mixing, packing, substring_dedup, suffix_index, token_store
+from textloom.llm import audio, chat, mixing, packing, substring_dedup, suffix_index, token_store
 from textloom.llm.tokens import tokenizer_path
 from textloom.session import scratch, ship
 
@@ -29,6 +29,10 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digests(spark, out)
 
 
+def op7_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.digests(audio.store_texts(table(spark, sf_dir, "documents")))
+
+
 def op8_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -51,7 +55,7 @@ def op10_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_mix_sources, op6_token_store, op8_pack_documents, op9_chat_format, op10_suffix_index)
+    for f in (op1_substring_dedup, op2_mix_sources, op6_token_store, op7_media_audio, op8_pack_documents, op9_chat_format, op10_suffix_index)
 }
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
