@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import audio, chat, mixing, packing, substring_dedup, suffix_index, token_store
+from textloom.llm import audio, chat, embedding_dedup, mixing, packing, substring_dedup, suffix_index, token_store
 from textloom.llm.tokens import tokenizer_path
 from textloom.session import scratch, ship
 
@@ -23,6 +23,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "tokens")
     token_store.write_tokens(table(spark, sf_dir, "documents"), out, tokenizer_path("word_bpe_49k.json"))
@@ -55,7 +59,7 @@ def op10_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_mix_sources, op6_token_store, op7_media_audio, op8_pack_documents, op9_chat_format, op10_suffix_index)
+    for f in (op1_substring_dedup, op2_mix_sources, op5_embedding_dedup, op6_token_store, op7_media_audio, op8_pack_documents, op9_chat_format, op10_suffix_index)
 }
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
