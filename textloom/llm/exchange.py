@@ -80,6 +80,46 @@ def messages(block: int, round_: int, keys: list[np.ndarray], buckets: int) -> p
     )
 
 
+def short_keys(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """32 bits that follow the bucket number: sorted within a bucket, enough to tell most keys of a bucket apart."""
+    high, low, n = keys >> U(32), keys & U(0xFFFFFFFF), U(buckets)
+    return np.minimum(((high * n) & U(0xFFFFFFFF)) + ((low * n) >> U(32)), U(0xFFFFFFFF)).astype(np.uint32)
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers in about 18 bits each: lower halves as they are, upper halves as a bit vector (Elias-Fano)."""
+    n = len(values)
+    if n < 1 << 13:
+        return b"\0" + values.astype("<u4").tobytes()
+    ones = np.zeros((1 << 16) + n, dtype=np.uint8)
+    ones[(values >> 16).astype(np.int64) + np.arange(n)] = 1
+    return b"\1" + np.int64(n).tobytes() + (values & 0xFFFF).astype("<u2").tobytes() + np.packbits(ones).tobytes()
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    if blob[:1] == b"\0":
+        return np.frombuffer(blob, "<u4", offset=1)
+    n = int(np.frombuffer(blob, "<i8", 1, 1)[0])
+    low = np.frombuffer(blob, "<u2", n, 9).astype(np.uint32)
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, offset=9 + 2 * n)))[:n] - np.arange(n)
+    return high.astype(np.uint32) << np.uint32(16) | low
+
+
+def short_messages(block: int, round_: int, keys: np.ndarray, buckets: int) -> pa.Table:
+    """As ``messages``, with the 32 bits that follow the bucket number in place of each key."""
+    at = cut(keys, buckets)
+    full = np.flatnonzero(np.diff(at))
+    short = short_keys(keys, buckets)
+    return pa.table(
+        {
+            "tl_bucket": pa.array(full, pa.int32()),
+            "tl_block": pa.array([block] * len(full), pa.int32()),
+            "tl_round": pa.array([round_] * len(full), pa.int32()),
+            "tl_keys": pa.array([pack_sorted(short[at[b] : at[b + 1]]) for b in full], pa.binary()),
+        }
+    )
+
+
 def marks(replies: pa.Table, round_: int, keys: np.ndarray, buckets: int) -> np.ndarray:
     """The marks of a block's sorted keys."""
     out = np.zeros(len(keys), dtype=np.uint8)
@@ -103,33 +143,37 @@ def replies(block: list[int], round_: int, bucket: int, found: list[np.ndarray])
     )
 
 
-def count_blocks(width: int, lanes: int = 1) -> Callable[[pa.Table], pa.Table]:
-    """A bucket's answer: in how many blocks each key occurs (255 at most).  Keys are ``lanes`` numbers of ``width`` bytes."""
-    kind = np.dtype(f"<u{width}")
-
-    def answer(table: pa.Table) -> pa.Table:
-        table = table.sort_by("tl_block")
-        blobs = table["tl_keys"].to_pylist()
-        sizes = [len(b) // (width * lanes) for b in blobs]
-        parts = [[np.frombuffer(b, kind, n, n * width * i) for b, n in zip(blobs, sizes, strict=True)] for i in range(lanes)]
-        first = np.concatenate(parts[0])
-        second = np.concatenate(parts[1]) if lanes > 1 else None
-        order = np.lexsort((second, first)) if lanes > 1 else np.argsort(first, kind="stable")
-        f = first[order]
-        new = np.ones(len(f), dtype=bool)
-        new[1:] = f[1:] != f[:-1]
-        if lanes > 1:
-            s = second[order]
-            new[1:] |= s[1:] != s[:-1]
-        at = np.flatnonzero(new)
-        times = np.diff(np.append(at, len(f)))
-        out = np.empty(len(f), dtype=np.uint8)
-        out[order] = np.repeat(np.minimum(times, MAX_MARK), times)
-        return replies(
-            table["tl_block"].to_pylist(), table["tl_round"][0].as_py(), table["tl_bucket"][0].as_py(), np.split(out, np.cumsum(sizes)[:-1])
-        )
-
-    return answer
+def _times(first: np.ndarray, second: np.ndarray | None) -> np.ndarray:
+    """How often each key occurs, 255 at most."""
+    order = np.argsort(first, kind="stable") if second is None else np.lexsort((second, first))
+    f = first[order]
+    new = np.ones(len(f), dtype=bool)
+    new[1:] = f[1:] != f[:-1]
+    if second is not None:
+        s = second[order]
+        new[1:] |= s[1:] != s[:-1]
+    at = np.flatnonzero(new)
+    times = np.diff(np.append(at, len(f)))
+    out = np.empty(len(f), dtype=np.uint8)
+    out[order] = np.repeat(np.minimum(times, MAX_MARK), times)
+    return out
+
+
+def count_short(table: pa.Table) -> pa.Table:
+    """A bucket's answer to ``short_messages``: in how many blocks each key occurs."""
+    table = table.sort_by("tl_block")
+    parts = [unpack_sorted(b) for b in table["tl_keys"].to_pylist()]
+    found = np.split(_times(np.concatenate(parts), None), np.cumsum([len(p) for p in parts])[:-1])
+    return replies(table["tl_block"].to_pylist(), table["tl_round"][0].as_py(), table["tl_bucket"][0].as_py(), found)
+
+
+def count_pairs(table: pa.Table) -> pa.Table:
+    """A bucket's answer to ``messages`` of two 64-bit lanes: in how many blocks each key occurs."""
+    table = table.sort_by("tl_block")
+    parts = [np.frombuffer(b, "<u8").reshape(2, -1) for b in table["tl_keys"].to_pylist()]
+    found = _times(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+    found = np.split(found, np.cumsum([p.shape[1] for p in parts])[:-1])
+    return replies(table["tl_block"].to_pylist(), table["tl_round"][0].as_py(), table["tl_bucket"][0].as_py(), found)
 
 
 def resolve(sent: DataFrame, answer: Callable[[pa.Table], pa.Table]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import audio, chat, embedding_dedup, mixing, packing, substring_dedup, suffix_index, token_store, toxicity
+from textloom.llm import audio, chat, embedding_dedup, jaccard_join, mixing, packing, substring_dedup, suffix_index, token_store, toxicity
 from textloom.llm.tokens import tokenizer_path
 from textloom.session import scratch, ship
 
@@ -23,6 +23,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -64,7 +68,7 @@ def op10_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_mix_sources, op4_toxicity, op5_embedding_dedup, op6_token_store, op7_media_audio, op8_pack_documents, op9_chat_format, op10_suffix_index)
+    for f in (op1_substring_dedup, op2_mix_sources, op3_jaccard_join, op4_toxicity, op5_embedding_dedup, op6_token_store, op7_media_audio, op8_pack_documents, op9_chat_format, op10_suffix_index)
 }
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"

@@ -78,10 +78,7 @@ class _Block:
 def _send_anchors(window: int, buckets: int):
     def send(table: pa.Table) -> pa.Table:
         block = _Block(table, window, 1)
-        sent = X.messages(table["tl_block"][0].as_py(), ANCHORS, [block.anchors], buckets)
-        # Within a bucket the following 32 bits tell keys apart; the bucket stands for the bits above them.
-        short = [(np.frombuffer(k, "<u8") & U(0xFFFFFFFF)).astype("<u4").tobytes() for k in sent["tl_keys"].to_pylist()]
-        return sent.set_column(3, "tl_keys", pa.array(short, pa.binary()))
+        return X.short_messages(table["tl_block"][0].as_py(), ANCHORS, block.anchors, buckets)
 
     return send
 
@@ -144,8 +141,8 @@ def remove_repeats(
     if window < PERIOD:
         raise ValueError(f"window must be at least {PERIOD} words")
     rows, n = X.blocked(docs, id_col, text_col, carry)
-    anchors = X.resolve(rows.groupBy("tl_block").applyInArrow(_send_anchors(window, n), X.MESSAGE), X.count_blocks(4))
-    full = X.resolve(X.with_replies(rows, anchors, _send_windows(window, n), X.MESSAGE), X.count_blocks(8, 2))
+    anchors = X.resolve(rows.groupBy("tl_block").applyInArrow(_send_anchors(window, n), X.MESSAGE), X.count_short)
+    full = X.resolve(X.with_replies(rows, anchors, _send_windows(window, n), X.MESSAGE), X.count_pairs)
     fields = [rows.schema["tl_id"], *(T.StructField(c, k) for c, k in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType())))]
     if keep_text:
         fields += [T.StructField("kept_text", T.StringType()), rows.schema["tl_carry"]]

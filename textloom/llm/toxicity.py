@@ -354,6 +354,23 @@ def _scores(costs: np.ndarray, lexicon: np.ndarray, weights: np.ndarray, bias: f
     return score
 
 
+def _reject(costs: np.ndarray, lexicon: np.ndarray, weights: np.ndarray, bias: float, text_col: str):
+    def clean(batches):
+        decoder, look = Decoder(costs), Lookup(lexicon)
+        for batch in batches:
+            z = np.full(batch.num_rows, bias)
+            for _, _, r, h in features(batch[text_col], decoder, look):
+                np.add.at(z, r, weights[look.places(h)])
+            yield batch.filter(pa.array(z < 0))
+
+    return clean
+
+
+def reject_toxic(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below one half, with all their columns."""
+    return docs.mapInArrow(_reject(*model, text_col), docs.schema)
+
+
 def held_out(id_col):
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
