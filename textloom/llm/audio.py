@@ -22,9 +22,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from textloom.llm.tokens import sliced
 from textloom.session import scratch
 
 ALIGN = 64
@@ -286,25 +286,10 @@ def feature(scan: Scan) -> str:
 STORE = "doc_id {kind}, n_bytes long, media binary"
 SCANNED = "doc_id {kind}, samples long, rate int, seconds double, frames long, resyncs long, bad_checksums long, tags map<string,string>, seek array<long>"
 DIGEST = "doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-BATCH_BYTES = 4 << 20
-
-
-def _sliced(batches, column: str):
-    """Batches of a bounded number of bytes."""
-    for batch in batches:
-        a = size = 0
-        lengths = pc.binary_length(batch[column]).fill_null(0).to_pylist()
-        for i, n in enumerate(lengths):
-            size += n
-            if size >= BATCH_BYTES:
-                yield batch.slice(a, i + 1 - a)
-                a, size = i + 1, 0
-        if a < len(lengths):
-            yield batch.slice(a)
 
 
 def _store(batches):
-    for batch in _sliced(batches, "text"):
+    for batch in sliced(batches, "text"):
         sizes, media = [], []
         for text in batch["text"].to_pylist():
             raw = (text or "").encode()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.tokens import ChunkEncoder, with_end
+from textloom.llm.tokens import ChunkEncoder, sliced, with_end
 
 CAPACITY, END = 2048, 0
 SHARD_DOCS = 16_384
@@ -38,7 +38,7 @@ def cut_pieces(length: int, capacity: int) -> list[tuple[int, int]]:
 def to_pieces(path: str, capacity: int, end: int):
     def tokenise(batches):
         encoder = ChunkEncoder.of(path)
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             ids, offs = with_end(*encoder.encode(batch["text"]), end)
             ids = ids.astype("<u4", copy=False)
             rows, piece, start, length, crc = [], [], [], [], []

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.exchange import partitions
-from textloom.llm.tokens import ChunkEncoder, with_end
+from textloom.llm.tokens import ChunkEncoder, sliced, with_end
 
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 1 << 20, 2000
 LAYOUT = "doc_id {kind}, row long, n_tokens long, token_ids array<int>"
@@ -29,7 +29,7 @@ def encode_rows(path: str, end: int):
 
     def encode(batches):
         encoder, row = ChunkEncoder.of(path), 0
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             ids, offs = with_end(*encoder.encode(batch["text"]), end)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(

@@ -12,11 +12,13 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from textloom.llm.hashing import _SPACE, U, byte_prefix, mix, text_buffer, window
 
-SLICE_BYTES = 8 << 20
-STORE_CHUNKS = 3_000_000
+SLICE_BYTES = 4 << 20
+STORE_CHUNKS = 2_000_000
+BATCH_BYTES = 4 << 20
 JOINED = 2000
 
 _SAFE = np.zeros(256, dtype=bool)
@@ -42,6 +44,20 @@ def chunk_starts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
+def sliced(batches, column: str):
+    """Batches of a bounded number of bytes of text."""
+    for batch in batches:
+        a = size = 0
+        lengths = pc.binary_length(batch[column]).fill_null(0).to_pylist()
+        for i, n in enumerate(lengths):
+            size += n
+            if size >= BATCH_BYTES:
+                yield batch.slice(a, i + 1 - a)
+                a, size = i + 1, 0
+        if a < len(lengths):
+            yield batch.slice(a)
+
+
 def ragged(values: np.ndarray, offs: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rows ``rows`` of a ragged array, and their offsets."""
     sizes = np.diff(offs)[rows]
