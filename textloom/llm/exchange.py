@@ -20,6 +20,8 @@ U = np.uint64
 MESSAGE = "tl_bucket int, tl_block int, tl_round int, tl_keys binary"
 REPLY = "tl_block int, tl_round int, tl_bucket int, tl_marks binary"
 MAX_MARK = 255
+#: Blocks a shuffle partition: a task takes one block after the other, so this divides its working memory.
+BLOCKS = 3
 
 
 def partitions(spark) -> int:
@@ -34,16 +36,21 @@ def fresh(name: str, taken) -> str:
     return name
 
 
+def block_of(key, text, buckets: int):
+    """A row's block; it depends on id and text, so rows that share a null id are spread as well."""
+    return F.pmod(F.xxhash64(key, text), F.lit(BLOCKS * buckets)).cast("int")
+
+
 def blocked(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> tuple[DataFrame, int]:
-    """``(tl_block, tl_id, tl_text, tl_carry)`` dealt by block; one shuffle of the texts, which every round reads.
+    """``(tl_block, tl_id, tl_text, tl_carry)`` dealt by block, and the number of buckets.
 
-    The block depends on id and text, so rows that share a null id are spread as well.
+    The texts are shuffled once, and every round reads that shuffle.
     """
     n = partitions(docs.sparkSession)
     key, text = docs[id_col], docs[text_col]
     extra = F.struct(*[docs[c] for c in carry]) if carry else F.lit(None).cast("int")
     rows = docs.select(
-        F.pmod(F.xxhash64(key, text), F.lit(n)).cast("int").alias("tl_block"),
+        block_of(key, text, n).alias("tl_block"),
         key.alias("tl_id"),
         text.alias("tl_text"),
         extra.alias("tl_carry"),

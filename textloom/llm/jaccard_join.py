@@ -269,7 +269,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.withColumn("tl_id", F.col("tl_id").cast("long"))
     key, text = docs[id_col], docs[text_col]
     digest = F.unhex(F.md5(text.cast("binary")))
-    block = F.pmod(F.xxhash64(key, text), F.lit(n)).cast("int")
+    block = X.block_of(key, text, n)
     members = checkpointed(docs.select(key.cast("long").alias("id"), digest.alias("digest"), block.alias("tl_block")))
     texts = members.filter(F.col("digest").isNotNull())
     # A class is represented by its smallest id; a null id counts as the largest.

@@ -114,8 +114,10 @@ class _Block:
     def __init__(self, table: pa.Table, length: int) -> None:
         self.table, self.length = X.ordered(table), length
         self.buf, self.offs = text_buffer(self.table["tl_text"])
-        left = np.repeat(self.offs[1:], np.diff(self.offs)) - np.arange(len(self.buf))
-        self.valid = left >= length
+        self.valid = np.zeros(len(self.buf), dtype=bool)
+        for at, to in zip(self.offs[:-1].tolist(), self.offs[1:].tolist(), strict=True):
+            if to - at >= length:
+                self.valid[at : to - length + 1] = True
         parts = [self._suffixes(a) for a in range(0, len(self.buf), SEGMENT)]
         self.low, self.high, k, f = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U))
         self.prefix, self.extent, self.times, self.place = X.distinct_pairs(k, f)
@@ -202,13 +204,13 @@ def _finish(length: int, buckets: int, schema: pa.Schema, texts: bool):
         for at, to in ((block.low[whole], block.high[whole] + length), (start[again], start[again] + length)):
             np.add.at(edge, at, 1)
             np.add.at(edge, to, -1)
-        gone = np.cumsum(edge[:-1]) > 0
+        gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
         offs = block.offs
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
         inner = offs[:-1][np.diff(offs) > 0]
         opens[inner] = gone[inner]
-        count = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[offs])
+        count = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int32)])[offs])
         removed, spans = count(gone), count(opens)
         kept = block.buf[~gone].tobytes()
         to = np.cumsum(np.diff(offs) - removed)
