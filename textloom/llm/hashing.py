@@ -47,7 +47,7 @@ def powers(lane: int, n: int, inverse: bool = False) -> np.ndarray:
         step = np.full(size, _INVERSES[lane] if inverse else _BASES[lane], dtype=U)
         step[0] = 1
         have = np.cumprod(step, dtype=U)
-        if size <= 1 << 22:
+        if size <= 1 << 20:
             _POWERS[key] = have
     return have[:n]
 
@@ -97,7 +97,7 @@ class Words:
     Bytes are hashed in segments, so that a very long text needs no more working memory than a short one.
     """
 
-    SEGMENT = 1 << 20
+    SEGMENT = 1 << 18
 
     def __init__(self, column, lanes: int = 1, lower: bool = False) -> None:
         buf, offs = text_buffer(column)
@@ -137,7 +137,7 @@ class Words:
 def windows(hashes: np.ndarray, start: np.ndarray, size: int, lane: int) -> np.ndarray:
     """Mixed hashes of ``size`` consecutive words from each of ``start``, in segments."""
     out = np.empty(len(start), dtype=U)
-    step = 1 << 20
+    step = 1 << 17
     a = 0
     while a < len(start):
         b = max(a + 1, int(np.searchsorted(start, start[a] + step)))

@@ -33,7 +33,7 @@ from textloom.llm.substring_dedup import to_arrow
 
 LENGTH = 400
 REACH, GRAM = 128, 12
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 SUFFIXES, STRINGS = 1, 2
 #: Marks: the prefix occurs in another batch; so does the whole extent; so does the prefix with another extent.
 PREFIX, EXTENT, MIXED = 1, 2, 4
