@@ -1,6 +1,57 @@
-"""Registered queries and the DuckDB SQL that gives the same rows."""
+"""Registered queries over the driver's tables, and the DuckDB SQL that gives the same rows.
+
+The tables stand in for the engine's inputs: documents and pages are texts, events and lineitem are ledger entries, frames
+and boxes, conversations are recordings whose turns are frames.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from textloom.functions import tokens as T
+from textloom.functions import validators as V
+from textloom.operators import frames, gate, geometry, layout, ledger, pagetext, payload, transcript
+from textloom.operators.redact import merge_counts, redact, total
+from textloom.operators.rules import BUILTIN, Rule, with_custom
+from textloom.session import scratch, ship
+from textloom.sources import files
+from textloom.streaming import streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+NOW = "2024-01-31 00:00:00"
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over the cluster's cores where a small input has fewer partitions, before work that is all CPU."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def long(c) -> F.Column:
+    return F.col(c).cast("long") if isinstance(c, str) else c.cast("long")
+
+
+# --- Redaction ---------------------------------------------------------------------------------------------------
+
+_EMAIL = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
