@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.hashing import release
+
 U = np.uint64
 MESSAGE = "tl_bucket int, tl_block int, tl_round int, tl_keys binary"
 REPLY = "tl_block int, tl_round int, tl_bucket int, tl_marks binary"
@@ -183,13 +185,38 @@ def count_pairs(table: pa.Table) -> pa.Table:
     return replies(table["tl_block"].to_pylist(), table["tl_round"][0].as_py(), table["tl_bucket"][0].as_py(), found)
 
 
+def lean(fn: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``fn``, which gives its memory back after each group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = fn(table)
+        release()
+        return out
+
+    return run
+
+
+def lean_pair(fn: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = fn(left, right)
+        release()
+        return out
+
+    return run
+
+
+def send(rows: DataFrame, fn: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """The messages that ``fn`` makes of each block."""
+    return rows.groupBy("tl_block").applyInArrow(lean(fn), MESSAGE)
+
+
 def resolve(sent: DataFrame, answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    return sent.groupBy("tl_bucket").applyInArrow(answer, REPLY)
+    return sent.groupBy("tl_bucket").applyInArrow(lean(answer), REPLY)
 
 
 def with_replies(rows: DataFrame, answers: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``fn(block rows, their replies)`` for each block."""
-    return rows.groupBy("tl_block").cogroup(answers.groupBy("tl_block")).applyInArrow(fn, schema)
+    return rows.groupBy("tl_block").cogroup(answers.groupBy("tl_block")).applyInArrow(lean_pair(fn), schema)
 
 
 def distinct_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -280,11 +280,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark, out = docs.sparkSession, scratch(docs.sparkSession, "shingles")
     X.with_replies(rows, packed.unionByName(counted), _candidates(n), FOUND).write.option("compression", "zstd").parquet(out)
     found = spark.read.schema(FOUND).parquet(out)
-    stars = found.filter(F.col("kind") == KEYS).groupBy("tl_bucket").applyInArrow(_stars, "a long, b long")
+    stars = found.filter(F.col("kind") == KEYS).groupBy("tl_bucket").applyInArrow(X.lean(_stars), "a long, b long")
     groups = components(stars).withColumnsRenamed({"id": "of", "component": "group"})
     sets = found.filter((F.col("kind") == DOC) & F.col("data").isNotNull())
     dealt = sets.join(groups, sets["id"] == groups["of"]).select("group", "id", "digest", "data")
-    settled = dealt.groupBy("group").applyInArrow(_settle, "id long, component long")
+    settled = dealt.groupBy("group").applyInArrow(X.lean(_settle), "id long, component long")
     settled = settled.groupBy("id").agg(F.min("component").alias("component")).withColumnRenamed("id", "of")
     sized = found.filter(F.col("kind") == DOC).select(F.col("id").alias("rep"), F.col("digest").alias("tl_digest"), "n")
     known = sized.join(settled, sized["rep"] == settled["of"], "left").select("tl_digest", "n", F.coalesce("component", "rep").alias("component"))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.hashing import release
 from textloom.llm.tokens import ChunkEncoder, sliced, with_end
 
 CAPACITY, END = 2048, 0
@@ -53,6 +54,7 @@ def to_pieces(path: str, capacity: int, end: int):
                 [batch["doc_id"].take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        release()
 
     return tokenise
 

@@ -141,7 +141,7 @@ def remove_repeats(
     if window < PERIOD:
         raise ValueError(f"window must be at least {PERIOD} words")
     rows, n = X.blocked(docs, id_col, text_col, carry)
-    anchors = X.resolve(rows.groupBy("tl_block").applyInArrow(_send_anchors(window, n), X.MESSAGE), X.count_short)
+    anchors = X.resolve(X.send(rows, _send_anchors(window, n)), X.count_short)
     full = X.resolve(X.with_replies(rows, anchors, _send_windows(window, n), X.MESSAGE), X.count_pairs)
     fields = [rows.schema["tl_id"], *(T.StructField(c, k) for c, k in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType())))]
     if keep_text:

@@ -240,7 +240,7 @@ def remove_long_matches(
     if length < 2 * REACH + GRAM:
         raise ValueError(f"length must be at least {2 * REACH + GRAM} bytes")
     rows, n = X.blocked(docs, id_col, text_col, carry)
-    found = X.resolve(rows.groupBy("tl_block").applyInArrow(_send_suffixes(length, n), X.MESSAGE), _answer)
+    found = X.resolve(X.send(rows, _send_suffixes(length, n)), _answer)
     exact = X.resolve(X.with_replies(rows, found, _send_strings(length, n), X.MESSAGE), X.count_pairs)
     fields = [rows.schema["tl_id"], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())]
     if keep_bytes:

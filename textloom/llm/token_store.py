@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.exchange import partitions
+from textloom.llm.hashing import release
 from textloom.llm.tokens import ChunkEncoder, sliced, with_end
 
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 1 << 20, 2000
@@ -42,6 +43,7 @@ def encode_rows(path: str, end: int):
                 names=["doc_id", "row", "n_tokens", "token_ids"],
             )
             row += n
+        release()
 
     return encode
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.hashing import U, byte_prefix, mix, text_buffer, window
+from textloom.llm.hashing import U, byte_prefix, mix, release, text_buffer, window
 
 FOLDS, SAMPLE_ROWS, LEXICON = 5, 20_000, 4_000
 MIN_DOCS, MIN_Z = 4, 3.5
@@ -299,6 +299,7 @@ def _associations(costs: np.ndarray):
             h, n = held[0]
             on = n.sum(axis=1) > 0
             yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), pa.array(n[on, 0]), pa.array(n[on, 1])], names=["feature", "clean", "toxic"])
+        release()
 
     return count
 
@@ -362,6 +363,7 @@ def _reject(costs: np.ndarray, lexicon: np.ndarray, weights: np.ndarray, bias: f
             for _, _, r, h in features(batch[text_col], decoder, look):
                 np.add.at(z, r, weights[look.places(h)])
             yield batch.filter(pa.array(z < 0))
+        release()
 
     return clean
 
