@@ -207,6 +207,29 @@ def test_toxicity(spark):
     assert toxicity.score_documents(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_decodes_tokens_of_any_length():
+    words = "you are so stupid fuck this ass and that is as it was the rest of it "
+    buf = np.frombuffer((words * 50).encode(), np.uint8)
+    decoder = toxicity.Decoder(toxicity.log_model(toxicity.trigrams(buf)))
+
+    def restored(text):
+        low = toxicity.lowered(np.frombuffer(text.encode(), np.uint8))
+        return {w for _, token, glued in toxicity.obfuscated(low, np.array([0, len(low)])) for w in decoder(token, glued).split()}
+
+    assert "fuck" in restored("f" + "u" * 300 + "ck")
+    assert "stupid" in restored("stup1d" + "!" * 80)
+    assert "stupid" in restored("youareso" * 6 + "stup1d" + "thatisthe" * 3)
+    assert "ass" in restored("4$$") and "ass" in restored("455") and "as" in restored("4s")
+    assert "ass" in restored("a s s") and "ass" in restored("a -- 5 -- $")
+    assert "stupid" in restored("st up id") and "fuck" in restored("f u u u u u c k")
+    assert restored("\u00fc" * 9 + "x") and restored("\u8a9e" * 30 + "0")
+    assert restored("2026-11-26 plain words here!") <= {"o", "i", "l", "il", "li", "ii", "ll"}
+    long = "st0pid" * 3000
+    whole = toxicity.Decoder(toxicity.log_model(toxicity.trigrams(buf)))
+    whole.PIECE = 1 << 30
+    assert decoder.decode(long, True) == whole.decode(long, True)
+
+
 def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "TILE_ROWS", 40)
     rng = np.random.default_rng(2)

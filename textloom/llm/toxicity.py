@@ -1,9 +1,10 @@
 """Toxicity by noisy-channel deobfuscation and a sparse linear model of the restored words.
 
 1. A character trigram model (60 classes) is counted over all documents.
-2. Tokens that look obfuscated (signs among letters, letters repeated three times or more, single letters in a row) become
-   lattices: a sign may stand for letters, a long repetition for one or two, a gap between single letters for nothing or
-   a word break.  Viterbi decoding under the trigram model picks the restored text.
+2. Tokens that look obfuscated (with signs, with letters repeated three times or more, or short fragments in a row) become
+   lattices: a sign may stand for letters, a long repetition for one or two, a gap between fragments for nothing or a word
+   break.  Viterbi decoding under the trigram model picks the restored text.  Tokens of any length are decoded whole, once as
+   one word and once as words glued together; long paths are settled as far as all surviving ones agree, which is exact.
 3. A document's features are the letter runs of its text and of what was restored: whole runs, and their first 4 to 8 bytes.
    Features that labelled training rows associate with toxicity make a lexicon; an L1 logistic regression weighs them.
 
@@ -11,6 +12,10 @@ Fitted on a bounded sample: at most ``SAMPLE_ROWS`` labelled training rows (the
 ``LEXICON`` features.  Everything else covers every row and whole texts.  Held-out rows (crc32 of the id modulo
 ``FOLDS`` is 0) are never trained on; labels, language, source and id are no inputs of a score.
 
+Bounds of the deobfuscation: a chain's fragments have at most ``FRAGMENT`` characters each, so a word cut into longer ones
+('stup idity') isn't put together; signs other than ``SIGNS`` (and the digits 2 and 6) stand for no letter; ``EDGES`` count
+inside a token only.
+
 Edge cases: a null or empty text has no features and gets the model's base score; without labels of both kinds every score
 is the smoothed share of label 1; null or repeated labels count once an id, label 1 winning; an empty table gives an empty
 result.
@@ -19,6 +24,9 @@ result.
 from __future__ import annotations
 
 import math
+import re
+from itertools import groupby
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +49,11 @@ SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 EDGES = "!|+("
 #: Costs (nats) of a sign read as a letter, of a long repetition, and of a word break between single letters.
 SIGN_COST, REPEAT_COST, BREAK_COST = 0.7, 0.3, 1.5
-LONGEST_TOKEN, SPACED = 40, 4
+#: Letters and signs of a fragment of a chain.
+FRAGMENT = 3
+#: More than two of the same in a row, with or without gaps.
+REPEATED = re.compile(r"(\S)(?: ?\1){2,}")
+SIGNED = frozenset(SIGNS)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -50,6 +62,9 @@ _LETTER[97:123] = True
 _LETTER[128:] = True
 _SIGN = np.zeros(256, dtype=bool)
 _SIGN[[ord(c) for c in SIGNS]] = True
+_EDGE = np.zeros(256, dtype=bool)
+_EDGE[[ord(c) for c in EDGES]] = True
+_GAPS = bytes(b if _LETTER[b] or _SIGN[b] else 32 for b in range(256))
 _CODE = np.zeros(256, dtype=np.int64)
 _CODE[97:123] = np.arange(1, 27)
 _CODE[128:] = CLASSES - 1
@@ -107,55 +122,81 @@ def log_model(counts: np.ndarray) -> np.ndarray:
 class Decoder:
     """Viterbi decoding of obfuscated tokens; decoded tokens are kept for the worker's further batches."""
 
-    KEPT = 200_000
+    KEPT, PIECE = 8_000_000, 1024
 
     def __init__(self, costs: np.ndarray) -> None:
-        self.costs = costs
+        self.costs = costs.ravel().tolist()
         self.known: dict[tuple[str, bool], str] = {}
+        self.held = 0
+        self.options: dict[tuple[str, int, bool], list[tuple[list[tuple[str, int]], float]]] = {}
 
-    def __call__(self, token: str, spaced: bool) -> str:
-        key = (token, spaced)
+    def __call__(self, token: str, glued: bool) -> str:
+        token = REPEATED.sub(r"\1\1\1", token)
+        key = (token, glued)
         if key not in self.known:
-            if len(self.known) >= self.KEPT:
+            if self.held >= self.KEPT:
                 self.known.clear()
-            self.known[key] = self.decode(token, spaced)
+                self.held = 0
+            self.known[key] = self.decode(token, glued)
+            self.held += len(token) + 40
         return self.known[key]
 
-    def decode(self, token: str, spaced: bool) -> str:
-        units: list[tuple[str, int]] = []
-        for c in token:
-            if units and units[-1][0] == c and not spaced:
-                units[-1] = (c, units[-1][1] + 1)
-            else:
-                units.append((c, 1))
+    def read(self, c: str, n: int, glued: bool) -> list[tuple[list[tuple[str, int]], float]]:
+        """The letters with their classes that ``n`` times ``c`` may stand for, and the cost of each reading."""
+        letters = SIGNS.get(c, c if c.isalpha() else "")
+        if c == " ":
+            options = [("", 0.0), (" ", BREAK_COST)]
+        elif not letters:
+            options = [(" ", 0.0)]
+        else:
+            cost = SIGN_COST if c in SIGNS else 0.0
+            options = [(x * k, cost + REPEAT_COST * (n > 2)) for x in letters for k in ((1, 2) if n > 2 else (n,))]
+            if glued:
+                options += [(" " + x, y + BREAK_COST) for x, y in options]
+        return [([(x, 0 if x == " " else class_of(x)) for x in text], extra) for text, extra in options]
+
+    def decode(self, token: str, glued: bool) -> str:
+        """The best reading of a token of any length.  Spaces are gaps; ``glued`` lets words end anywhere."""
         # state: the classes of the last two letters; value: cost, and the letters so far as a linked list
         states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-        for c, n in units:
-            letters = SIGNS.get(c, c if c.isalpha() else "")
-            if not letters:
-                options = [(" ", 0.0)]
-            else:
-                cost = SIGN_COST if c in SIGNS else 0.0
-                options = [(x * k, cost + REPEAT_COST * (n > 2)) for x in letters for k in ((1, 2) if n > 2 else (n,))]
-                if spaced:
-                    options += [(" " + x, y + BREAK_COST) for x, y in options]
+        done: list[str] = []
+        for i, (c, same) in enumerate(groupby(token)):
+            key = (c, min(3, sum(1 for _ in same)), glued)
+            if key not in self.options:
+                if len(self.options) >= self.PIECE:
+                    self.options.clear()
+                self.options[key] = self.read(*key)
             after: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (cost, path) in states.items():
-                for text, extra in options:
+                for text, extra in self.options[key]:
                     s, p, q, trail = cost + extra, a, b, path
-                    for x in text:
-                        k = 0 if x == " " else class_of(x)
-                        s += float(self.costs[p, q, k])
+                    for x, k in text:
+                        s += self.costs[(p * CLASSES + q) * CLASSES + k]
                         p, q, trail = q, k, (trail, x)
                     if (p, q) not in after or s < after[p, q][0]:
                         after[p, q] = (s, trail)
             states = after
-        best = min(states.items(), key=lambda i: i[1][0] + float(self.costs[i[0][0], i[0][1], 0]))
-        out, trail = [], best[1][1]
-        while trail:
-            trail, x = trail
-            out.append(x)
-        return "".join(reversed(out))
+            if i % self.PIECE == self.PIECE - 1:  # what all paths begin with is settled
+                paths = {k: (s, _spelt(trail)) for k, (s, trail) in states.items()}
+                done.append(commonprefix([path for _, path in paths.values()]))
+                states = {k: (s, _linked(path[len(done[-1]) :])) for k, (s, path) in paths.items()}
+        best = min(states.items(), key=lambda i: i[1][0] + self.costs[(i[0][0] * CLASSES + i[0][1]) * CLASSES])
+        return "".join(done) + _spelt(best[1][1])
+
+
+def _spelt(trail: tuple) -> str:
+    out = []
+    while trail:
+        trail, x = trail
+        out.append(x)
+    return "".join(reversed(out))
+
+
+def _linked(text: str) -> tuple:
+    trail: tuple = ()
+    for x in text:
+        trail = (trail, x)
+    return trail
 
 
 def _runs(on: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,36 +215,47 @@ def _runs(on: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(opens), np.flatnonzero(closes) + 1
 
 
+def _thrice(low: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    """Where a letter, of one or more bytes, is for the third time in a row."""
+    out = np.zeros(len(low), dtype=bool)
+    if len(low) > 2:
+        out[2:] = (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & letter[2:]
+    leads = np.flatnonzero(low >= 0xC0)
+    for n, first in ((2, 0xC0), (3, 0xE0), (4, 0xF0)):
+        at = leads[(low[leads] >= first) & (low[leads] < (0xE0, 0xF0, 0xF8)[n - 2]) & (leads + 3 * n <= len(low))]
+        for k in range(2 * n):
+            at = at[low[at + k] == low[at + k + n]]
+        out[at + 2 * n] = True
+    return out
+
+
 def obfuscated(low: np.ndarray, offs: np.ndarray) -> list[tuple[int, str, bool]]:
-    """``(row, token, spaced)`` of what looks obfuscated in lowered bytes."""
+    """``(row, token, glued)`` of what looks obfuscated in lowered bytes; a chain's fragments are parted by spaces."""
     letter, sign = _LETTER[low], _SIGN[low]
     starts, ends = _runs(letter | sign, offs)
     if not len(starts):
         return []
-    letters = np.concatenate([[0], np.cumsum(letter)])
-    signs = np.concatenate([[0], np.cumsum(sign)])
-    n_letters, n_signs = letters[ends] - letters[starts], signs[ends] - signs[starts]
-    triple = np.zeros(len(low), dtype=bool)
-    if len(low) > 2:
-        triple[2:] = (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & letter[2:]
-    repeats = np.concatenate([[0], np.cumsum(triple)])
-    size = ends - starts
-    odd = (size <= LONGEST_TOKEN) & (n_letters > 0) & ((n_signs > 0) & (size > 2) | (repeats[ends] > repeats[starts]))
+    sums = lambda on: np.concatenate([[0], np.cumsum(on)])
+    inner, signs, repeats = sums((letter | sign) & ~_EDGE[low]), sums(sign), sums(_thrice(low, letter))
+    whole = inner[ends] > inner[starts]  # not of signs alone that end words
+    starts, ends = starts[whole], ends[whole]
+    repeated = repeats[ends] > repeats[starts]
     row = np.searchsorted(offs, starts, "right") - 1
     out = []
-    for i in np.flatnonzero(odd):
+    for i in np.flatnonzero((signs[ends] > signs[starts]) | repeated):
         token = low[starts[i] : ends[i]].tobytes().decode("utf-8", "ignore").strip(EDGES)
-        if any(c in SIGNS for c in token) or repeats[ends[i]] > repeats[starts[i]]:
+        if repeated[i] or not SIGNED.isdisjoint(token):
             out.append((int(row[i]), token, False))
-    # Single letters in a row, with at most two bytes between: a lone lead byte of UTF-8 and its follower count as one.
-    single = (size == 1) | ((size == 2) & (low[starts] >= 0xC0))
+            out.append((int(row[i]), token, True))
+    # Short fragments in a row, whatever is between them but digits that are no signs.
+    chars, digits = sums((low & 0xC0) != 0x80), sums((low == 50) | (low == 54))
+    short = chars[ends] - chars[starts] <= FRAGMENT
     chain = np.zeros(len(starts), dtype=bool)
-    chain[1:] = single[1:] & single[:-1] & (starts[1:] - ends[:-1] <= 2) & (row[1:] == row[:-1])
+    chain[1:] = short[1:] & short[:-1] & (row[1:] == row[:-1]) & (digits[starts[1:]] == digits[ends[:-1]])
     edge = np.flatnonzero(np.diff(np.concatenate([[0], chain.astype(np.int8), [0]])))
-    for a, b in zip(edge[::2], edge[1::2], strict=True):
-        if b - a + 1 >= SPACED and n_letters[a - 1 : b].sum() >= SPACED - 1:
-            token = b"".join(low[starts[i] : ends[i]].tobytes() for i in range(a - 1, b)).decode("utf-8", "ignore")
-            out.append((int(row[a]), token, True))
+    for a, b in zip((edge[::2] - 1).tolist(), (edge[1::2] - 1).tolist(), strict=True):
+        parts = low[starts[a] : ends[b]].tobytes().translate(_GAPS).decode("utf-8", "ignore").split(" ")
+        out.append((int(row[a]), " ".join([x for p in parts if (x := p.strip(EDGES))]), False))
     return out
 
 
@@ -240,7 +292,7 @@ def features(column, decoder: Decoder, keep=None):
         r, h = _hashes(low, rows)
         odd = obfuscated(low, rows)
         if odd:
-            words = [decoder(token, spaced) for _, token, spaced in odd]
+            words = [decoder(token, glued) for _, token, glued in odd]
             raw = [w.encode() for w in words]
             joined = np.frombuffer(b"".join(raw), np.uint8)
             bounds = np.concatenate([[0], np.cumsum([len(w) for w in raw])])
