@@ -309,6 +309,24 @@ def test_audio_round_trip(data):
     assert audio.payload_of(stream, audio.scan_stream(stream)) == data
 
 
+def test_audio_text_that_looks_like_a_tag():
+    for size in (64, 128, 192, 512, 1024, 1408, 1472, 5000):
+        n = len(audio.encode(bytes(size)))
+        spots = {p for p in range(size - 2) if audio.encode(bytes(p) + b"TAG" + bytes(size - p - 3))[n - 128 : n - 125] == b"TAG"}
+        for p in spots:
+            data = b"x" * p + b"TAG" + b"y" * (size - p - 3)
+            stream = audio.encode(data)
+            scan = audio.scan_stream(stream)
+            assert audio.payload_of(stream, scan) == data and "ID3v1:title" not in scan.tags and scan.resyncs == 0
+            tagged = audio.scan_stream(stream + b"TAG" + b"title".ljust(125, b"\0"))
+            assert tagged.offsets == scan.offsets and tagged.tags["ID3v1:title"] == "title" and tagged.resyncs == 0
+        assert spots or size in (64, 1472)
+    broken = bytearray(audio.encode(bytes(5000)))
+    broken[audio.scan_stream(bytes(broken)).offsets[1]] = 0
+    with pytest.raises(ValueError):
+        audio.payload_of(bytes(broken), audio.scan_stream(bytes(broken)))
+
+
 def test_audio_resynchronises():
     stream = bytearray(audio.encode(bytes(range(256)) * 40))
     whole = audio.scan_stream(bytes(stream))

@@ -217,17 +217,16 @@ def scan_stream(data: bytes) -> Scan:
     """Tags, table, frame offsets and checks of a stream; frames with wrong checksums are left out."""
     scan = Scan()
     at, end = _read_id3(data, scan), len(data)
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        fields = {"title": (3, 33), "artist": (33, 63), "album": (63, 93), "year": (93, 97)}
-        scan.tags |= {f"ID3v1:{k}": data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip() for k, (a, b) in fields.items()}
-    known = lost = False
-    while at + 4 <= end:
+    # What looks like an ID3v1 tag is one if no frame covers its place: sound and ancillary data may hold any bytes.
+    tag = end - 128 if end - at >= 128 and data[end - 128 : end - 125] == b"TAG" else end
+    covered = known = lost = False
+    while at + 4 <= end and (at < tag or covered):
         h = header_at(data, at)
         fits = h is not None and at + h.length <= end
-        if fits and not known:  # nothing vouches for this header yet
-            following = header_at(data, at + h.length) if at + h.length + 4 <= end else None
-            fits = at + h.length == end or (following is not None and (following.version, following.layer, following.rate) == (h.version, h.layer, h.rate))
+        if fits and (not known or at < tag < at + h.length):  # nothing vouches for this header or its end yet
+            after = at + h.length
+            following = header_at(data, after) if after + 4 <= end else None
+            fits = after in (tag, end) or (following is not None and (following.version, following.layer, following.rate) == (h.version, h.layer, h.rate))
         if not fits:
             scan.resyncs += not lost
             known, lost = False, True
@@ -236,6 +235,7 @@ def scan_stream(data: bytes) -> Scan:
                 break
             continue
         known, lost = True, False
+        covered |= at < tag < at + h.length
         if not scan.offsets and scan.table is None and (table := _read_table(data, at, h)):
             scan.table = table
             at += h.length
@@ -250,6 +250,9 @@ def scan_stream(data: bytes) -> Scan:
             scan.offsets.append(at)
             scan.headers.append(h)
         at += h.length
+    if tag < end and not covered:
+        fields = {"title": (3, 33), "artist": (33, 63), "album": (63, 93), "year": (93, 97)}
+        scan.tags |= {f"ID3v1:{k}": data[tag + a : tag + b].split(b"\0")[0].decode("latin-1").strip() for k, (a, b) in fields.items()}
     return scan
 
 
@@ -264,10 +267,13 @@ def _quiet(head: bytes, side: int) -> bytes:
 
 
 def payload_of(data: bytes, scan: Scan) -> bytes:
-    """The payload that a carrier stream holds."""
+    """The payload that a carrier stream holds; an error if part of it is missing."""
     front = len(_FRONTS[0])
     held = b"".join([data[a + front : a + h.length] for a, h in zip(scan.offsets, scan.headers, strict=True)])
-    return held[: int(scan.tags.get("TXXX:payload", len(held)))]
+    size = int(scan.tags.get("TXXX:payload", len(held)))
+    if size > len(held):
+        raise ValueError(f"{len(held)} of {size} payload bytes left")
+    return held[:size]
 
 
 def feature(scan: Scan) -> str:
