@@ -138,6 +138,17 @@ def test_jaccard_join(spark, docs):
     assert jaccard_join.similar_documents(frame(spark, [], True)).count() == 0
 
 
+def test_jaccard_join_collapses_case_and_white_space(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "scratch", lambda *_: str(tmp_path / "found"))
+    words = "One two THREE four five six seven \u00c9t\u00e9 nine".split()
+    gaps = [" ", "\t\n", "  "]
+    texts = [gaps[i % 3].join(w.upper() if w.isascii() and i >> k & 1 else w for k, w in enumerate(words)) for i in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100, " ".join(words).replace("\u00c9", "\u00e9")), (101, None), (102, " \n")]
+    got = {r["doc_id"]: tuple(r)[1:] for r in jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (5, 0) for i in range(40)} | {100: (5, 100), 101: (0, 101), 102: (0, 102)}
+    assert spark.read.parquet(str(tmp_path / "found")).filter(F.col("kind") == jaccard_join.DOC).count() == 3
+
+
 def test_exact_groups_connects_through_others():
     a = np.arange(100, dtype=np.uint64)
     sets = [a, a + 10, a + 20, a + 30, np.arange(1000, 1100, dtype=np.uint64)]

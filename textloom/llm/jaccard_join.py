@@ -11,9 +11,10 @@ and passages cause are left out unless most of a document consists of them.
 *Size bands* are powers of 8; a document takes part in its own band and, where a partner may be in the next, in that.  A
 document with so few symbols that all may differ takes a symbol that stands for all such documents of the band.
 
-Equal texts are one class and compared once.  Symbols are counted in a presence exchange of about 18 bits a symbol; only
+Texts of equal words (in any case and spacing) are one class and compared once.  Symbols are counted in a presence exchange of about 18 bits a symbol; only
 shared ones among the first are joined.  Documents that share one form candidate groups (components of stars, never of
-pairs); in a group the sets are compared exactly, but for pairs that other links connect already.
+pairs); in a group the sets are compared exactly, but for pairs that other links connect already.  A group is settled in one
+task; the README has the measured limit.
 
 Edge cases: fewer than five words are one shingle, none are the empty set, which links with nothing; rows that share an id
 are one node, each with its own set size; null ids are nodes of their own and link with nothing; an empty table gives an
@@ -23,11 +24,14 @@ empty result.
 from __future__ import annotations
 
 import hashlib
+import string
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.llm import exchange as X
 from textloom.llm.components import components, contracted
@@ -43,6 +47,19 @@ DOC, KEYS = 0, 1
 FOUND = "kind int, tl_bucket int, id long, digest binary, n long, data binary"
 
 
+_LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
+
+
+def digest_of(text: str) -> bytes:
+    """Equal for texts of equal words, whatever the case of A-Z and the white space between."""
+    return hashlib.md5(b" ".join(text.encode().translate(_LOWER).split())).digest()
+
+
+@F.pandas_udf(T.BinaryType())
+def _digests(texts: pd.Series) -> pd.Series:
+    return texts.map(digest_of, na_action="ignore")
+
+
 class Sets:
     """Distinct shingle hashes of a text column's rows, sorted in each row."""
 
@@ -132,7 +149,7 @@ class _Block:
         texts = table["tl_text"]
         for row, i in enumerate(table["tl_id"].to_pylist()):
             if i in ids:
-                digest = hashlib.md5((texts[row].as_py() or "").encode()).digest()
+                digest = digest_of(texts[row].as_py() or "")
                 if (i, digest) in owned:
                     owned.remove((i, digest))
                     rows.append(row)
@@ -268,7 +285,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows, n = X.blocked(docs, id_col, text_col)
     rows = rows.withColumn("tl_id", F.col("tl_id").cast("long"))
     key, text = docs[id_col], docs[text_col]
-    digest = F.unhex(F.md5(text.cast("binary")))
+    digest = _digests(text.cast("string"))
     block = X.block_of(key, text, n)
     members = checkpointed(docs.select(key.cast("long").alias("id"), digest.alias("digest"), block.alias("tl_block")))
     texts = members.filter(F.col("digest").isNotNull())
