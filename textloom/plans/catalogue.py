@@ -391,6 +391,20 @@ def missing_pairs_anti(spark, sf_dir):
     return pagetext.missing_pairs(lines, layers, ["item_id"]).groupBy("item_id").agg(F.count(F.lit(1)).alias("missing"))
 
 
+@query()
+def word_pairs_all(spark, sf_dir):
+    """Pairs of words of every item, in any script."""
+    return pagetext.line_pairs(read(spark, sf_dir, "benchmark"), ["item_id"]).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("pair").alias("n_distinct"))
+
+
+@query()
+def missing_pairs_all(spark, sf_dir):
+    """Pairs of every item that the following item lacks, by an anti join."""
+    lines = read(spark, sf_dir, "benchmark")
+    layers = lines.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("layer_text"))
+    return pagetext.missing_pairs(lines, layers, ["item_id"]).groupBy("item_id").agg(F.count(F.lit(1)).alias("missing"))
+
+
 @query("SELECT conv_id AS doc_id, string_agg('--- page ' || turn || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
 def page_text(spark, sf_dir):
     df = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("n"), "text")
@@ -515,6 +529,12 @@ def row_pitch(spark, sf_dir):
     return df.groupBy("doc_id").agg(layout.pitch(F.col("w")).alias("pitch"))
 
 
+@query()
+def row_pitch_all(spark, sf_dir):
+    """The median over all boxes of a document."""
+    return boxes(spark, sf_dir).groupBy("doc_id").agg(layout.pitch(F.col("w")).alias("pitch"))
+
+
 @query("""SELECT l_orderkey AS doc_id, median(c) AS cell_width, round(stddev_pop(c) / avg(c), 9) AS cell_variation FROM (
   SELECT l_orderkey, l_quantity * 8 / (3 + l_linenumber) AS c FROM lineitem WHERE l_quantity * 8 <= 0.9 * 400) GROUP BY 1 HAVING count(*) >= 3""")
 def cell_statistics(spark, sf_dir):
