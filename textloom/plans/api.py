@@ -18,7 +18,8 @@ from textloom.operators.gate import refuse_long
 from textloom.operators.geometry import CONFIDENCE
 from textloom.operators.redact import redact
 from textloom.operators.rules import BUILTIN, Rule, load_rules, with_custom
-from textloom.operators.transcript import DEDUPE, transcribe
+from textloom.operators.transcript import DEDUPE, ledger_rows, transcribe
+from textloom.session import checkpointed
 from textloom.sources import files
 
 
@@ -136,9 +137,12 @@ def text_tool(spark: SparkSession, options: Options) -> DataFrame:
     return redact_texts(files.read_texts(spark, options.paths), rules_of(spark, options))
 
 
-def video_tool(spark: SparkSession, frames: DataFrame, options: Options) -> DataFrame:
-    """Transcripts of recognised frames; unless told otherwise each is noted in the ledger."""
-    done = transcribe(frames, rules_of(spark, options), options.dedupe)
+def video_tool(spark: SparkSession, frames: DataFrame, options: Options, path: str | None = None) -> DataFrame:
+    """Transcripts of recognised frames; unless told otherwise each is noted in the ledger (at ``path`` if given)."""
+    done = checkpointed(transcribe(frames, rules_of(spark, options), options.dedupe))
+    if not options.no_ledger:
+        now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), ledger.TIME_FORMAT)
+        ledger.append(ledger_rows(done, now), path or ledger_path())
     return done
 
 
