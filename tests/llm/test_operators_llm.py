@@ -58,27 +58,39 @@ def docs(spark):
     return frame(spark, make_texts()).cache()
 
 
-def test_substring_dedup(spark, docs):
+#: One level; and several, with nodes of three senders and two ranges.
+SHAPES = [None, exchange.Shape(blocks=20, ranges=2, levels=3, fan=3)]
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_substring_dedup(spark, docs, shape):
     texts = pairs_of(docs)
     words = [(t or "").encode().split() for _, t in texts]
     seen = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
     want = []
-    for (d, _), w in zip(texts, words, strict=True):
+    for (d, t), w in zip(texts, words, strict=True):
         gone = covered(len(w), 35, lambda i, w=w: seen[tuple(w[i : i + 35])] > 1)
         kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
-        want.append((d, len(w), sum(gone), hashlib.sha256(kept).hexdigest(), kept.decode(), d))
-    got = substring_dedup.remove_repeats(docs, keep_text=True, carry=["tl_block", "n_words"])
+        want.append((d, len(w), sum(gone), hashlib.sha256(kept).hexdigest(), kept.decode() if any(gone) else t, d))
+    got = substring_dedup.remove_repeats(docs, keep_text=True, carry=["tl_block", "n_words"], shape=shape)
     got = got.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "tl_carry.tl_block").collect()
-    assert sorted(map(tuple, got)) == sorted(want)
+    flat = lambda rows: sorted((*r[:4], " ".join((r[4] or "").split()) if r[2] else r[4] or "", r[5]) for r in rows)
+    assert flat(got) == flat(want)
     assert substring_dedup.remove_repeats(frame(spark, [], True)).count() == 0
 
 
+def test_kept_text_keeps_its_white_space():
+    text, gone = b" a\tb\n\nc d  e ", np.array([True, False, False, True, False])
+    assert substring_dedup.without(text, gone) == b"b\n\nc  e"
+
+
 def test_cover_holds_every_difference():
     c, p = substring_dedup.COVER, substring_dedup.PERIOD
     assert {(a - b) % p for a in c for b in c} == set(range(p))
 
 
-def test_suffix_index(spark, docs):
+@pytest.mark.parametrize("shape", SHAPES)
+def test_suffix_index(spark, docs, shape):
     raw = [(d, (t or "").encode()) for d, t in pairs_of(docs)]
     seen = Counter(b[i : i + 400] for _, b in raw for i in range(len(b) - 399))
     want = []
@@ -86,7 +98,7 @@ def test_suffix_index(spark, docs):
         gone = covered(len(b), 400, lambda i, b=b: seen[b[i : i + 400]] > 1)
         spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
         want.append((d, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
-    assert sorted(map(tuple, suffix_index.remove_long_matches(docs).collect())) == sorted(want)
+    assert sorted(map(tuple, suffix_index.remove_long_matches(docs, shape=shape).collect())) == sorted(want)
     assert suffix_index.remove_long_matches(frame(spark, [], True)).count() == 0
 
 
@@ -109,17 +121,29 @@ def test_logarithmic_family_marks_both_sides():
 @given(st.lists(st.integers(0, 2**32 - 1), min_size=0, max_size=300), st.booleans())
 @settings(max_examples=20, deadline=None)
 def test_packed_keys_round_trip(values, many):
-    v = np.sort(np.array(values * (40 if many else 1), dtype=np.uint32))
+    v = np.sort(np.array(values * (40 if many else 1), dtype=np.uint64) << np.uint64(20))
     assert (exchange.unpack_sorted(exchange.pack_sorted(v)) == v).all()
 
 
+def test_messages_grow_with_the_text_alone():
+    for size in (10**8, 10**11, 10**14):
+        shape = exchange.Shape.of(size, 12)
+        assert shape.ranges <= exchange.FAN and shape.blocks <= exchange.FAN**shape.levels and shape.last * exchange.RANGE_BYTES >= size
+    assert exchange.Shape.of(10**8, 12).ranges == exchange.Shape.of(10**8, 211).ranges
+    counts = np.array([1, 2, 100, 128, 129, 1000, 10**6])
+    codes = exchange.code_of(counts)
+    assert (np.diff(codes.astype(int)) >= 0).all() and codes[:4].tolist() == [1, 2, 100, 128]
+    assert (exchange.code_of(exchange.count_of(np.arange(256, dtype=np.uint8)))[1:] == np.arange(256)[1:]).all()
+
+
 def shingles(text):
     low = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
     w = (text or "").encode().translate(low).split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def test_jaccard_join(spark, docs):
+@pytest.mark.parametrize("shape, piece", [(SHAPES[0], jaccard_join.PIECE), (SHAPES[1], 2)])
+def test_jaccard_join(spark, docs, shape, piece):
     texts = pairs_of(docs)
     sets = [(d, shingles(t)) for d, t in texts]
     label = {d: d for d, _ in sets}
@@ -131,7 +155,7 @@ def test_jaccard_join(spark, docs):
                 if a and b and label[d] != label[e] and 100 * len(a & b) >= 75 * len(a | b):
                     label[d] = label[e] = min(label[d], label[e])
                     changed = True
-    got = jaccard_join.similar_documents(docs).collect()
+    got = jaccard_join.similar_documents(docs, shape=shape, piece=piece).collect()
     assert sorted(map(tuple, got)) == sorted((d, len(s), label[d]) for d, s in sets)
     kept = {r["doc_id"] for r in jaccard_join.keep_one(docs).collect()}
     assert kept == set(label.values())
@@ -146,13 +170,46 @@ def test_jaccard_join_collapses_case_and_white_space(spark, tmp_path, monkeypatc
     rows = [(i, t) for i, t in enumerate(texts)] + [(100, " ".join(words).replace("\u00c9", "\u00e9")), (101, None), (102, " \n")]
     got = {r["doc_id"]: tuple(r)[1:] for r in jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: (5, 0) for i in range(40)} | {100: (5, 100), 101: (0, 101), 102: (0, 102)}
-    assert spark.read.parquet(str(tmp_path / "found")).filter(F.col("kind") == jaccard_join.DOC).count() == 3
-
-
-def test_exact_groups_connects_through_others():
-    a = np.arange(100, dtype=np.uint64)
-    sets = [a, a + 10, a + 20, a + 30, np.arange(1000, 1100, dtype=np.uint64)]
-    assert jaccard_join.exact_groups(np.arange(5), sets).tolist() == [0, 0, 0, 0, 4]
+    assert spark.read.parquet(str(tmp_path / "found")).count() == 3
+
+
+def test_jaccard_join_of_repeated_and_null_ids(spark):
+    one, other = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(40))
+    rows = [(3, other), (5, one), (5, other), (9, one), (None, one), (None, "only here")]
+    got = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(3, 36, 3), (5, 26, 3), (5, 36, 3), (9, 26, 3), (None, 26, None), (None, 1, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_jaccard_join_follows_a_chain(spark):
+    """Neighbours link, all others don't: each text moves on by a seventh of its words."""
+    words = [f"w{i}" for i in range(40 + 5 * 400)]
+    rows = [(i, " ".join(words[5 * i : 5 * i + 40])) for i in range(400)] + [(1000, " ".join(f"v{i}" for i in range(40)))]
+    got = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, 0) for i in range(400)} | {(1000, 1000)}
+
+
+def test_sketches_bound_the_symmetric_difference():
+    rng = np.random.default_rng(5)
+    for n in (3, 10, 60, 70, 500, 700):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n - n // 4], rng.integers(0, 2**64, n // 3, dtype=np.uint64)]))
+        x, y = jaccard_join.sketch_of(a), jaccard_join.sketch_of(b)
+        least = min(len(x), len(y))
+        distance = int(np.bitwise_count(jaccard_join.folded(x, least) ^ jaccard_join.folded(y, least)).sum())
+        assert distance <= len(np.setxor1d(a, b))
+
+
+def test_proposals_go_on_until_all_pairs_are_settled(spark):
+    """Documents that share one symbol: a chain whose ends don't link, and far ones; tasks of two rows."""
+    sets = [np.arange(10 * i, 10 * i + 100, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for i in (0, 2, 1, 3, 90, 91)]
+    sets = [np.sort(x) for x in sets]
+    rows = [(i, len(x), jaccard_join.sketch_of(x), x.astype("<u8").tobytes()) for i, x in enumerate(sets)]
+    frame_ = spark.createDataFrame(rows, "id long, n long, sketch binary, data binary")
+    keys = spark.createDataFrame([(7, i) for i in range(6)], "key long, id long")
+    none = spark.createDataFrame([], "a long, b long")
+    got = {r["id"]: r["component"] for r in jaccard_join.linked(keys, frame_, none, piece=2).collect()}
+    assert {i: got.get(i, i) for i in range(6)} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4}
 
 
 def test_components(spark):

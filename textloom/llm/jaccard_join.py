@@ -1,24 +1,28 @@
 """N-gram Jaccard self-join with parity sketches.
 
-A document's set are its distinct 5-word shingles (A-Z lower-cased).  A *parity sketch* cuts the hash space into parts
-and XORs the hashes of a part's shingles into one symbol.  A shingle that one set has and another lacks changes one
-symbol, so the Hamming distance of two sketches is at most the symmetric difference of the sets, which a Jaccard
-similarity of 3/4 bounds by a third of either set (a seventh of both).  *Pigeonhole:* order a sketch's symbols by
-any order that all documents share; the first symbol on which two linked documents agree has at most that many before
-it.  So joining the first ``size // 3 + 1`` symbols loses no link.  Rarest symbols come first, so those that common lines
-and passages cause are left out unless most of a document consists of them.
-
-*Size bands* are powers of 8; a document takes part in its own band and, where a partner may be in the next, in that.  A
-document with so few symbols that all may differ takes a symbol that stands for all such documents of the band.
-
-Texts of equal words (in any case and spacing) are one class and compared once.  Symbols are counted in a presence exchange of about 18 bits a symbol; only
-shared ones among the first are joined.  Documents that share one form candidate groups (components of stars, never of
-pairs); in a group the sets are compared exactly, but for pairs that other links connect already.  A group is settled in one
-task; the README has the measured limit.
+A document's set are its distinct 5-word shingles (A-Z lower-cased).  *Parity sketches:* each shingle flips one bit, so a bit says
+whether an odd number of shingles fall on it, and the Hamming distance of two sketches is at most the symmetric difference of the sets.
+A Jaccard similarity of 3/4 bounds that by a seventh of both sizes, and by a third of either.  A document has its sketch in two
+resolutions: a wide one, kept as the XOR of its bits' 64-bit codes in each part of the hash space (a *symbol*), and a dense one of 2
+to 16 bits a shingle, in which a bit is the parity of all wide ones that fold on it.
+
+*Pigeonhole:* a differing bit spoils one part.  Order the symbols by any order that all documents share; the first symbol on which two
+linked documents agree has at most ``size // 3`` before it, so joining the first ``size // 3 + 1`` loses no link.  Rarest symbols come
+first, so those that common lines and passages cause are left out unless most of a document consists of them.  *Size bands* are powers
+of 8; a document takes part in its own band and, where a partner may be in the next, in that.  A document with so few symbols that
+all may differ takes a symbol that stands for all such documents of the band.
+
+*Verification* never forms all pairs of documents that share a symbol.  First each is compared with the least id that shares the symbol.
+Then, wherever the documents of a symbol are not all connected, those outside the largest connected part are held against all of
+them by Hamming distance in pieces of a bounded number of rows, and a forest that would connect all that are near enough is verified on the sets.
+That repeats without refuted pairs until a round has nothing to propose: then each pair that shares a symbol is refuted by the bound,
+refuted on the sets, or connected by verified links.
+
+Texts of equal words (in any case and spacing) are one class and compared once.  Symbols are counted in a presence exchange; only
+shared ones among the first leave a block, as plain rows, and a symbol that a third of all rows hold is aggregated before it is shuffled.
 
 Edge cases: fewer than five words are one shingle, none are the empty set, which links with nothing; rows that share an id
-are one node, each with its own set size; null ids are nodes of their own and link with nothing; an empty table gives an
-empty result.
+are one node, each with its own set size; null ids link with nothing and have a set size; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,17 +38,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm import exchange as X
-from textloom.llm.components import components, contracted
-from textloom.llm.hashing import U, Words, mix, prefix, window, windows
+from textloom.llm.components import components, local_labels
+from textloom.llm.hashing import U, Words, mix, prefix, release, window, windows
 from textloom.session import checkpointed, scratch
 
 SHINGLE = 5
 #: Percent of the union that two linked sets share at least.
 SIMILAR = 75
 BAND, LEAST_PARTS = 8, 1024
-CLASSES, SYMBOLS = 0, 1
-DOC, KEYS = 0, 1
-FOUND = "kind int, tl_bucket int, id long, digest binary, n long, data binary"
+#: Rows of one symbol that are compared in one task.
+PIECE = 4096
+FOUND = "id long, digest binary, n long, data binary, sketch binary, symbols array<long>"
+PAIR = "key long, a long, b long"
+NO_ID = -(2**63)
 
 
 _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
@@ -122,18 +128,27 @@ def symbols(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """The dense sketch: as many bits as twice the top of the set's band, each the parity of the hashes that begin with its number."""
+    width = 3 * (int(bands(np.array([len(hashes)]))[0]) + 1) + 1
+    odd = np.bincount((hashes >> U(64 - width)).astype(np.int64), minlength=1 << width) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch in ``size`` bytes: each bit of the smaller one is the parity of a byte of the next larger one."""
+    bits = np.frombuffer(sketch, np.uint8)
+    while len(bits) > size:
+        bits = np.packbits(np.bitwise_count(bits) & 1)
+    return bits
+
+
 def _pack_classes(table: pa.Table) -> pa.Table:
     """The classes that a block represents, as one reply."""
     table = table.sort_by([("id", "ascending"), ("digest", "ascending")])
-    blob = table["id"].to_numpy().astype("<i8").tobytes() + b"".join(table["digest"].to_pylist())
-    return pa.table(
-        {
-            "tl_block": pa.array([table["tl_block"][0].as_py()], pa.int32()),
-            "tl_round": pa.array([CLASSES], pa.int32()),
-            "tl_bucket": pa.array([0], pa.int32()),
-            "tl_marks": pa.array([blob], pa.binary()),
-        }
-    )
+    ids = table["id"].fill_null(NO_ID).to_numpy().astype("<i8")
+    blob = ids.tobytes() + b"".join(table["digest"].to_pylist())
+    return X._table(X.REPLY, [table["tl_block"][0].as_py()], [0], [None], [blob])
 
 
 class _Block:
@@ -141,15 +156,15 @@ class _Block:
 
     def __init__(self, table: pa.Table, replies: pa.Table) -> None:
         table = X.ordered(table)
-        blob = next((m for r, m in zip(replies["tl_round"].to_pylist(), replies["tl_marks"].to_pylist(), strict=True) if r == CLASSES), b"")
+        self.note = blob = X.note(replies) or b""
         k = len(blob) // 24
         owned = set(zip(np.frombuffer(blob, "<i8", k).tolist(), (blob[8 * k + 16 * i :][:16] for i in range(k)), strict=True))
         ids = {i for i, _ in owned}
         rows, self.ids, self.digests = [], [], []
         texts = table["tl_text"]
-        for row, i in enumerate(table["tl_id"].to_pylist()):
-            if i in ids:
-                digest = digest_of(texts[row].as_py() or "")
+        for row, i in enumerate(table["tl_id"].fill_null(NO_ID).to_pylist()):
+            if i in ids and texts[row].is_valid:
+                digest = digest_of(texts[row].as_py())
                 if (i, digest) in owned:
                     owned.remove((i, digest))
                     rows.append(row)
@@ -159,10 +174,10 @@ class _Block:
         self.rows, keys = symbols(self.sets)
         self.keys, self.place, self.times = np.unique(keys, return_inverse=True, return_counts=True)
 
-    def shared(self, replies: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    def shared(self, replies: pa.Table, shape: X.Shape) -> tuple[np.ndarray, np.ndarray]:
         """``(row, symbol)`` of those among each row's first symbols that other documents may have."""
         n = len(self.sets.sizes)
-        blocks = X.marks(replies, SYMBOLS, self.keys, buckets)
+        blocks = X.marks(X.Short, replies, [self.keys], shape)
         many = np.bincount(self.rows, minlength=2 * n)
         hot = ((blocks > 1) | (self.times > 1))[self.place]
         rows, key, rank = self.rows[hot], self.keys[self.place[hot]], blocks[self.place[hot]]
@@ -178,99 +193,186 @@ class _Block:
         return np.concatenate([rows[take], few]) % max(1, n), np.concatenate([key[take], mix(U(0xF0F0F0F0) + band.astype(U))])
 
 
-def _send(buckets: int):
+def _send(shape: X.Shape):
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return X.short_messages(0, SYMBOLS, np.zeros(0, U), buckets)
-        return X.short_messages(left["tl_block"][0].as_py(), SYMBOLS, _Block(left, right).keys, buckets)
+        block = _Block(left, right)
+        return X.messages(X.Short, left["tl_block"][0].as_py(), [block.keys], shape, block.note)
 
     return send
 
 
-def _candidates(buckets: int):
-    """A block's classes with their set sizes, the sets of those that share symbols, and those symbols by bucket."""
+def _candidates(shape: X.Shape):
+    """A block's classes with their set sizes; sets, sketches and symbols of those that share symbols."""
 
     def found(left: pa.Table, right: pa.Table) -> pa.Table:
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
-        names = ["kind", "tl_bucket", "id", "digest", "n", "data"]
-        if not left.num_rows:
-            return pa.table([pa.array([], k) for k in kinds], names=names)
         block = _Block(left, right)
-        rows, keys = block.shared(right, buckets)
+        rows, keys = block.shared(right, shape)
+        ids = np.array(block.ids, dtype=np.int64)
+        usable = ids[rows] != NO_ID
+        rows, keys = rows[usable], keys[usable]
+        order = np.lexsort((keys, rows))
+        rows, keys = rows[order], keys[order].view(np.int64)
+        at = np.searchsorted(rows, np.arange(len(ids) + 1))
         sets, first = block.sets, block.sets.first
-        takes = set(rows.tolist())
-        data = [sets.hashes[first[i] : first[i + 1]].astype("<u8").tobytes() if i in takes else None for i in range(len(block.ids))]
-        m = len(block.ids)
-        columns = [[DOC] * m, [None] * m, block.ids, block.digests, sets.sizes.tolist(), data]
-        order = np.argsort(keys, kind="stable")
-        keys, ids = keys[order], np.array(block.ids, dtype="<i8")[rows[order]]
-        at = X.cut(keys, buckets)
-        for b in np.flatnonzero(np.diff(at)):
-            part = slice(at[b], at[b + 1])
-            row = [KEYS, int(b), None, None, None, keys[part].astype("<u8").tobytes() + ids[part].tobytes()]
-            for column, value in zip(columns, row, strict=True):
-                column.append(value)
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        each = [sets.hashes[first[i] : first[i + 1]] if at[i + 1] > at[i] else None for i in range(len(ids))]
+        return pa.table(
+            {
+                "id": pa.array(ids, pa.int64(), mask=ids == NO_ID),
+                "digest": pa.array(block.digests, pa.binary()),
+                "n": pa.array(sets.sizes, pa.int64()),
+                "data": pa.array([None if e is None else e.astype("<u8").tobytes() for e in each], pa.binary()),
+                "sketch": pa.array([None if e is None else sketch_of(e) for e in each], pa.binary()),
+                "symbols": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys)),
+            }
+        )
 
     return found
 
 
-def _stars(table: pa.Table) -> pa.Table:
-    """Links that connect the documents of a bucket which share a symbol."""
-    parts = [np.frombuffer(b, "<u8").reshape(2, -1) for b in table["data"].to_pylist()]
-    keys, ids = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    ids = ids.view(np.int64)
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    new = np.ones(len(keys), dtype=bool)
-    new[1:] = keys[1:] != keys[:-1]
-    least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
-    a, b = contracted(ids, least)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def exact_groups(ids: np.ndarray, sets: list[np.ndarray], similar: int = SIMILAR) -> np.ndarray:
-    """For documents in ascending order of id: the smallest id that links reach.
-
-    Every pair is settled: it is compared exactly unless other links have connected it.
+def similar(a: bytes, b: bytes) -> bool:
+    """Whether two sets (sorted distinct hashes) link."""
+    a, b = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    both = int((a[at] == b).sum())
+    return 100 * both >= SIMILAR * (len(a) + len(b) - both)
+
+
+def near(a: bytes, b: bytes, size: int) -> bool:
+    """Whether the Hamming distance of two sketches allows a link of sets of ``size`` elements together."""
+    least = min(len(a), len(b))
+    return 7 * int(np.bitwise_count(folded(a, least) ^ folded(b, least)).sum()) <= size
+
+
+def _verify(batches):
+    for batch in batches:
+        na, nb = batch["na"].to_pylist(), batch["nb"].to_pylist()
+        sketches = zip(batch["sa"], batch["sb"], strict=True)
+        close = [near(x.as_py(), y.as_py(), i + j) for (x, y), i, j in zip(sketches, na, nb, strict=True)]
+        data = zip(batch["da"], batch["db"], close, strict=True)
+        ok = [c and similar(x.as_py(), y.as_py()) for x, y, c in data]
+        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+    release()
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, ok`` of distinct pairs of ids: whether any sets of the two link."""
+    side = lambda i: sets.select(F.col("id").alias(f"i{i}"), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"s{i}"), F.col("data").alias(f"d{i}"))
+    sized = side("b").select("ib", "nb").withColumnsRenamed({"ib": "ic", "nb": "nc"})
+    fits = lambda x, y: 4 * F.least(x, y) >= 3 * F.greatest(x, y)
+    a = side("a")
+    pairs = pairs.select("a", "b").distinct()
+    # Pairs whose sizes are too far apart need no sets.
+    light = pairs.join(sized, pairs["b"] == sized["ic"]).select("a", "b", "nc")
+    both = light.join(a, (light["a"] == a["ia"]) & fits(F.col("nc"), F.col("na"))).drop("nc")
+    b = side("b")
+    both = both.join(b, (both["b"] == b["ib"]) & fits(F.col("na"), F.col("nb")))
+    tried = both.select("a", "b", "na", "nb", "sa", "sb", "da", "db").mapInArrow(_verify, "a long, b long, ok boolean")
+    return tried.filter("ok").select("a", "b").distinct()
+
+
+def forest(label: np.ndarray, size: np.ndarray, sketch: list[bytes], outer: np.ndarray, barred: set[tuple[int, int]], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows near enough to link that would connect all which such pairs connect, beyond equal labels.
+
+    ``outer`` are the rows to hold against all; pairs of ids in ``barred`` are left out.
     """
-    m = len(ids)
-    sizes = np.array([len(s) for s in sets])
-    values, place = np.unique(np.concatenate(sets), return_inverse=True)
-    doc = np.repeat(np.arange(m), sizes)
-    order = np.argsort(place, kind="stable")
-    by_value, start = doc[order], np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(values)))])
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    label = np.searchsorted(ids, ids)  # equal ids are one node
-
-    def linked(x: int) -> np.ndarray:
-        mine = place[bounds[x] : bounds[x + 1]]
-        a, n = start[mine], start[mine + 1] - start[mine]
-        at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-        both = np.bincount(by_value[at], minlength=m)
-        return np.flatnonzero(100 * both >= similar * (sizes + sizes[x] - both))
-
-    def join(x: int, others: np.ndarray) -> None:
-        old = np.unique(label[np.append(others, x)])
-        if len(old) > 1:
-            label[np.isin(label, old)] = old[0]
-
-    star = linked(0)
-    join(0, star)
-    rest = np.setdiff1d(np.arange(1, m), star)
-    for x in rest:
-        if (label == label[0]).all():
-            break
-        join(int(x), linked(int(x)))
-    return ids[label]
-
-
-def _settle(table: pa.Table) -> pa.Table:
-    table = table.sort_by([("id", "ascending"), ("digest", "ascending")])
-    ids = table["id"].to_numpy()
-    sets = [np.frombuffer(b, "<u8") for b in table["data"].to_pylist()]
-    found = exact_groups(ids, sets)
-    return pa.table({"id": pa.array(ids, pa.int64()), "component": pa.array(found, pa.int64())})
+    least = min(map(len, sketch))
+    width = -(-least // 8) * 8
+    flat = np.zeros((len(sketch), width), dtype=np.uint8)
+    for i, s in enumerate(sketch):
+        flat[i, :least] = folded(s, least)
+    flat = flat.view(np.uint64)
+    names, part = np.unique(label, return_inverse=True)
+    part = part.copy()
+    out_a, out_b = [], []
+    for x in outer.tolist():
+        others = np.flatnonzero((part != part[x]) & (4 * np.minimum(size, size[x]) >= 3 * np.maximum(size, size[x])))
+        if not len(others):
+            continue
+        distance = np.bitwise_count(flat[others] ^ flat[x]).sum(axis=1, dtype=np.int64)
+        others = others[7 * distance <= size[others] + size[x]]
+        if barred:
+            others = np.array([y for y in others.tolist() if (min(ids[x], ids[y]), max(ids[x], ids[y])) not in barred], dtype=np.int64)
+        if not len(others):
+            continue
+        _, one = np.unique(part[others], return_index=True)  # one of each part is enough
+        others = others[one]
+        out_a += [x] * len(others)
+        out_b += others.tolist()
+        part[np.isin(part, part[others])] = part[x]
+    return np.array(out_a, dtype=np.int64), np.array(out_b, dtype=np.int64)
+
+
+def _propose(table: pa.Table, refuted: pa.Table) -> pa.Table:
+    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    if not table.num_rows:
+        return schema.empty_table()
+    table = table.sort_by([("id", "ascending"), ("n", "ascending"), ("sketch", "ascending")])
+    ids, label = table["id"].to_numpy(), table["label"].to_numpy()
+    outer = np.flatnonzero(table["outer"].to_numpy(zero_copy_only=False))
+    barred = set(zip(refuted["a"].to_pylist(), refuted["b"].to_pylist(), strict=True))
+    x, y = forest(label, table["n"].to_numpy(), table["sketch"].to_pylist(), outer, barred, ids)
+    low, high = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+    return pa.table([pa.array(np.full(len(x), table["key"][0].as_py()), pa.int64()), pa.array(low), pa.array(high)], schema=schema)
+
+
+def _unsettled(keys: DataFrame, labels: DataFrame, sets: DataFrame, piece: int) -> DataFrame:
+    """``key, task, outer, id, label, n, sketch`` of symbols whose documents aren't all connected, dealt to tasks of bounded size.
+
+    Documents outside a symbol's largest connected part (outer) meet all of the symbol's documents.  Pieces of outer ones go
+    by pieces of all; a document goes to as many tasks as there are pieces on the other side.
+    """
+    of = labels.withColumnRenamed("id", "tl_of")
+    marked = keys.join(of, keys["id"] == of["tl_of"], "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+    parts = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"))
+    top = parts.groupBy(F.col("key").alias("tl_key")).agg(
+        F.max(F.struct("rows", "label")).alias("top"), F.sum("rows").alias("all"), F.count(F.lit(1)).alias("parts")
+    )
+    top = top.filter("parts > 1").select("tl_key", F.col("top.label").alias("main"), F.col("all"), (F.col("all") - F.col("top.rows")).alias("apart"))
+    open_ = marked.join(top, marked["key"] == top["tl_key"])
+    pieces = lambda c: F.ceil(F.col(c) / piece).cast("int")
+    mine = lambda c: F.pmod(F.xxhash64("id"), pieces(c)).cast("int")
+    outer = F.col("label") != F.col("main")
+    to_all = F.transform(F.sequence(F.lit(0), pieces("all") - 1), lambda j: F.struct(mine("apart").alias("i"), j.alias("j"), F.lit(True).alias("outer")))
+    to_outer = F.transform(F.sequence(F.lit(0), pieces("apart") - 1), lambda i: F.struct(i.alias("i"), mine("all").alias("j"), F.lit(False).alias("outer")))
+    dealt = open_.select("key", "id", "label", F.explode(F.when(outer, F.concat(to_all, to_outer)).otherwise(to_outer)).alias("t"))
+    dealt = dealt.groupBy("key", "id", "label", "t.i", "t.j").agg(F.max("t.outer").alias("outer"))
+    small = sets.select(F.col("id").alias("tl_of"), "n", "sketch")
+    return dealt.join(small, dealt["id"] == small["tl_of"]).select("key", "i", "j", "outer", "id", "label", "n", "sketch")
+
+
+def linked(keys: DataFrame, sets: DataFrame, twins: DataFrame, piece: int = PIECE) -> DataFrame:
+    """``id, component`` of the documents that link with others.
+
+    ``keys``: ``key, id`` of shared symbols; ``sets``: ``id, n, sketch, data``; ``twins``: ``a, b`` that are connected from the start.
+    """
+    least = keys.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("tl_most")).filter("b < tl_most")
+    least = least.select(F.col("key").alias("tl_key"), "b")
+    keys = checkpointed(keys.join(least, keys["key"] == least["tl_key"]).select("key", "id", "b"))
+    proposed = keys.filter("id > b").select("key", F.col("b").alias("a"), F.col("id").alias("b"))
+    keys = keys.select("key", "id")
+    links = checkpointed(verified(proposed, sets))
+    tree, barred = components(links.unionByName(twins)), None
+    while True:
+        not_ok = proposed.join(links, ["a", "b"], "left_anti").select("key", "a", "b")
+        barred = checkpointed(not_ok if barred is None else barred.unionByName(not_ok))
+        tasks = _unsettled(keys, tree, sets, piece)
+        proposed = tasks.groupBy("key", "i", "j").cogroup(_dealt(barred, tasks).groupBy("tl_key", "tl_i", "tl_j")).applyInArrow(X.lean_pair(_propose), PAIR)
+        proposed = checkpointed(proposed)
+        if proposed.isEmpty():
+            return tree
+        links = checkpointed(verified(proposed, sets))
+        own = tree.filter("id > component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+        tree = components(links.unionByName(own))
+
+
+def _dealt(barred: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Refuted pairs with each task of their symbol that holds both."""
+    names = {"key": "tl_key", "i": "tl_i", "j": "tl_j"}
+    seats = tasks.select("key", "i", "j", "id").distinct().withColumnsRenamed(names)
+    pairs = barred.select(F.col("key").alias("tl_key"), "a", "b")
+    one = pairs.join(seats.withColumnRenamed("id", "a"), ["tl_key", "a"])
+    return one.join(seats.withColumnRenamed("id", "b"), [*names.values(), "b"]).select(*names.values(), "a", "b")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,31 +382,32 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.join(gone, docs[id_col] == gone["tl_gone"], "left_anti")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape: X.Shape | None = None, piece: int = PIECE) -> DataFrame:
     """One row a document: ``id_col, n_shingles, component_id``."""
-    rows, n = X.blocked(docs, id_col, text_col)
-    rows = rows.withColumn("tl_id", F.col("tl_id").cast("long"))
+    spark = docs.sparkSession
+    shape = shape or X.shape_of(docs, text_col)
+    rows = X.blocked(docs, id_col, text_col, shape).withColumn("tl_id", F.col("tl_id").cast("long"))
     key, text = docs[id_col], docs[text_col]
     digest = _digests(text.cast("string"))
-    block = X.block_of(key, text, n)
-    members = checkpointed(docs.select(key.cast("long").alias("id"), digest.alias("digest"), block.alias("tl_block")))
-    texts = members.filter(F.col("digest").isNotNull())
+    members = checkpointed(docs.select(key.cast("long").alias("id"), digest.alias("digest"), X.block_of(key, text, shape.blocks).alias("tl_block")))
     # A class is represented by its smallest id; a null id counts as the largest.
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tl_block")).alias("least")
-    classes = texts.groupBy("digest").agg(least).select("digest", "least.id", "least.tl_block").filter(F.col("id").isNotNull())
+    classes = members.filter(F.col("digest").isNotNull()).groupBy("digest").agg(least).select("digest", "least.id", "least.tl_block")
     packed = classes.groupBy("tl_block").applyInArrow(_pack_classes, X.REPLY)
-    counted = X.resolve(X.with_replies(rows, packed, _send(n), X.MESSAGE), X.count_short)
-    spark, out = docs.sparkSession, scratch(docs.sparkSession, "shingles")
-    X.with_replies(rows, packed.unionByName(counted), _candidates(n), FOUND).write.option("compression", "zstd").parquet(out)
+    counted = X.resolve(X.with_replies(rows, packed, _send(shape), X.MESSAGE), X.Short, shape)
+    out = scratch(spark, "shingles")
+    X.with_replies(rows, counted, _candidates(shape), FOUND).write.option("compression", "zstd").parquet(out)
     found = spark.read.schema(FOUND).parquet(out)
-    stars = found.filter(F.col("kind") == KEYS).groupBy("tl_bucket").applyInArrow(X.lean(_stars), "a long, b long")
-    groups = components(stars).withColumnsRenamed({"id": "of", "component": "group"})
-    sets = found.filter((F.col("kind") == DOC) & F.col("data").isNotNull())
-    dealt = sets.join(groups, sets["id"] == groups["of"]).select("group", "id", "digest", "data")
-    settled = dealt.groupBy("group").applyInArrow(X.lean(_settle), "id long, component long")
-    settled = settled.groupBy("id").agg(F.min("component").alias("component")).withColumnRenamed("id", "of")
-    sized = found.filter(F.col("kind") == DOC).select(F.col("id").alias("rep"), F.col("digest").alias("tl_digest"), "n")
-    known = sized.join(settled, sized["rep"] == settled["of"], "left").select("tl_digest", "n", F.coalesce("component", "rep").alias("component"))
+    keys = found.select(F.explode("symbols").alias("key"), "id").distinct()
+    sets = found.filter(F.col("data").isNotNull()).select("id", "n", "sketch", "data")
+    # Classes that share an id are one node.
+    reps = found.filter("n > 0").select(F.col("digest").alias("tl_digest"), F.col("id").alias("rep"))
+    placed = members.filter(F.col("id").isNotNull()).join(reps, F.col("digest") == F.col("tl_digest"))
+    same = placed.groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).filter("b < most").select(F.col("id").alias("tl_id"), "b")
+    twins = placed.join(same, placed["id"] == same["tl_id"]).filter("rep > b").select(F.col("rep").alias("a"), "b").distinct()
+    groups = linked(keys, sets, twins).withColumnsRenamed({"id": "of"})
+    sized = found.select(F.col("id").alias("rep"), F.col("digest").alias("tl_digest"), "n")
+    known = sized.join(groups, sized["rep"] == groups["of"], "left").select("tl_digest", "n", F.coalesce("component", "rep").alias("component"))
     joined = members.join(known, members["digest"] == known["tl_digest"], "left")
     shingles = F.coalesce("n", F.lit(0)).cast("long")
     component = F.when(F.col("id").isNotNull() & (shingles > 0), F.col("component")).otherwise(F.col("id"))

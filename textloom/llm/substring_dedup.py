@@ -12,12 +12,14 @@ covers is removed:
 
 Rows and edge cases: a null text has no words; a text shorter than the window is kept whole; repeated rows and
 repeated ids are separate rows; an empty table gives an empty result; columns named like the internal ones are
-carried untouched.  ``kept_text`` joins the words that stay by one space.
+carried untouched.  ``kept_text`` is the text itself (null for null) where nothing is removed; elsewhere the words that stay,
+each with the white space before it.  Rows equal in id and text are dealt to the same block.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from itertools import compress
 
 import numpy as np
@@ -32,7 +34,6 @@ from textloom.llm.hashing import U, Words, windows
 WINDOW = 35
 #: The perfect difference set of order 4, and its period.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
-ANCHORS, WINDOWS = 1, 2
 
 
 def anchor_places(words: Words, size: int, period: int, cover) -> np.ndarray:
@@ -58,14 +59,16 @@ class _Block:
         hashed = windows(self.words.hashes[0], self.at, self.size, 0)
         self.anchors, self.back, self.times = np.unique(hashed, return_inverse=True, return_counts=True)
 
-    def candidates(self, replies: pa.Table, buckets: int) -> np.ndarray:
+    def hot(self, replies: pa.Table, shape: X.Shape) -> np.ndarray:
+        """For each distinct anchor: does it occur again."""
+        return (X.marks(X.Short, replies, [self.anchors], shape) > 1) | (self.times > 1)
+
+    def candidates(self, hot: np.ndarray) -> np.ndarray:
         """Starts of the windows that hold an anchor which occurs again."""
-        known = X.marks(replies, ANCHORS, self.anchors, buckets)
-        hot = ((known > 1) | (self.times > 1))[self.back]
         first = self.words.first
         n = int(first[-1])
         seen = np.zeros(n + 1, dtype=np.int32)
-        seen[self.at[hot] + 1] = 1
+        seen[self.at[hot[self.back]] + 1] = 1
         np.cumsum(seen, out=seen)
         start = np.flatnonzero(np.repeat(first[1:], np.diff(first)) - np.arange(n) >= self.window)
         return start[seen[start + PERIOD] > seen[start]]
@@ -75,33 +78,44 @@ class _Block:
         return X.distinct_pairs(a, b)
 
 
-def _send_anchors(window: int, buckets: int):
+def _send_anchors(window: int, shape: X.Shape):
     def send(table: pa.Table) -> pa.Table:
         block = _Block(table, window, 1)
-        return X.short_messages(table["tl_block"][0].as_py(), ANCHORS, block.anchors, buckets)
+        return X.messages(X.Short, table["tl_block"][0].as_py(), [block.anchors], shape)
 
     return send
 
 
-def _send_windows(window: int, buckets: int):
+def _send_windows(window: int, shape: X.Shape):
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return X.messages(0, WINDOWS, [np.zeros(0, U)], buckets)
         block = _Block(left, window, 2)
-        a, b, _, _ = block.keys(block.candidates(right, buckets))
-        return X.messages(left["tl_block"][0].as_py(), WINDOWS, [a, b], buckets)
+        hot = block.hot(right, shape)
+        a, b, _, _ = block.keys(block.candidates(hot))
+        return X.messages(X.Pairs, left["tl_block"][0].as_py(), [a, b], shape, np.packbits(hot).tobytes())
 
     return send
 
 
-def _finish(window: int, buckets: int, schema: pa.Schema, texts: bool):
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def without(text: bytes, gone: np.ndarray) -> bytes:
+    """The text less the words in ``gone``, each with the white space before it; what stays keeps its white space."""
+    out, end = [], 0
+    for word, dropped in zip(_WORD.finditer(text), gone.tolist(), strict=True):
+        if not dropped:
+            out.append(text[end : word.end()] if out else word.group())
+        end = word.end()
+    return b"".join(out)
+
+
+def _finish(window: int, shape: X.Shape, schema: pa.Schema, texts: bool):
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return schema.empty_table()
         block = _Block(left, window, 2)
-        start = block.candidates(right, buckets)
-        a, _, times, place = block.keys(start)
-        again = ((X.marks(right, WINDOWS, a, buckets) > 1) | (times > 1))[place]
+        hot = np.unpackbits(np.frombuffer(X.note(right), np.uint8), count=len(block.anchors)).astype(bool)
+        start = block.candidates(hot)
+        a, b, times, place = block.keys(start)
+        again = ((X.marks(X.Pairs, right, [a, b], shape) > 1) | (times > 1))[place]
         first = block.words.first
         edge = np.zeros(int(first[-1]) + 1, dtype=np.int32)
         np.add.at(edge, start[again], 1)
@@ -111,13 +125,14 @@ def _finish(window: int, buckets: int, schema: pa.Schema, texts: bool):
         removed = np.diff(removed)
         digests, kept_texts = [], []
         for row, text in enumerate(block.table["tl_text"]):
-            kept = (text.as_py() or "").encode().split()
+            text = text.as_py()
+            raw = (text or "").encode()
+            kept = raw.split()
             if removed[row]:
                 kept = compress(kept, ~gone[first[row] : first[row + 1]])
-            kept = b" ".join(kept)
-            digests.append(hashlib.sha256(kept).hexdigest())
+            digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             if texts:
-                kept_texts.append(kept.decode())
+                kept_texts.append(without(raw, gone[first[row] : first[row + 1]]).decode() if removed[row] else text)
         out = {
             "tl_id": block.table["tl_id"],
             "n_words": pa.array(np.diff(first), pa.int64()),
@@ -132,7 +147,13 @@ def _finish(window: int, buckets: int, schema: pa.Schema, texts: bool):
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = False, carry: list[str] | None = None
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = WINDOW,
+    keep_text: bool = False,
+    carry: list[str] | None = None,
+    shape: X.Shape | None = None,
 ) -> DataFrame:
     """One row a document: ``id_col, n_words, n_removed, kept_sha256``.
 
@@ -140,14 +161,15 @@ def remove_repeats(
     """
     if window < PERIOD:
         raise ValueError(f"window must be at least {PERIOD} words")
-    rows, n = X.blocked(docs, id_col, text_col, carry)
-    anchors = X.resolve(X.send(rows, _send_anchors(window, n)), X.count_short)
-    full = X.resolve(X.with_replies(rows, anchors, _send_windows(window, n), X.MESSAGE), X.count_pairs)
+    shape = shape or X.shape_of(docs, text_col)
+    rows = X.blocked(docs, id_col, text_col, shape, carry)
+    anchors = X.resolve(X.send(rows, _send_anchors(window, shape)), X.Short, shape)
+    full = X.resolve(X.with_replies(rows, anchors, _send_windows(window, shape), X.MESSAGE), X.Pairs, shape)
     fields = [rows.schema["tl_id"], *(T.StructField(c, k) for c, k in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType())))]
     if keep_text:
         fields += [T.StructField("kept_text", T.StringType()), rows.schema["tl_carry"]]
     schema = T.StructType(fields)
-    done = X.with_replies(rows, anchors.unionByName(full), _finish(window, n, to_arrow(schema), keep_text), schema)
+    done = X.with_replies(rows, full, _finish(window, shape, to_arrow(schema), keep_text), schema)
     return done.withColumnRenamed("tl_id", id_col)
 
 

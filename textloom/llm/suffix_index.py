@@ -34,7 +34,6 @@ from textloom.llm.substring_dedup import to_arrow
 LENGTH = 400
 REACH, GRAM = 128, 12
 SEGMENT = 1 << 18
-SUFFIXES, STRINGS = 1, 2
 #: Marks: the prefix occurs in another batch; so does the whole extent; so does the prefix with another extent.
 PREFIX, EXTENT, MIXED = 1, 2, 4
 
@@ -97,15 +96,21 @@ def names_of(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return np.stack([first, second], axis=1).astype(">u8").reshape(-1).view("S16")
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    table = table.sort_by("tl_block")
-    family = LogarithmicFamily()
-    sizes = []
-    for blob in table["tl_keys"].to_pylist():
-        k, f = np.frombuffer(blob, "<u8").reshape(2, -1)
-        sizes.append(len(k))
-        family.add(names_of(k, f))
-    return X.replies(table["tl_block"].to_pylist(), SUFFIXES, table["tl_bucket"][0].as_py(), np.split(family.marks, np.cumsum(sizes)[:-1]))
+class Names(X.Pairs):
+    """Names as keys; a key's mark says whether its prefix and its extent occur in other batches."""
+
+    @staticmethod
+    def answer(batches, weights):
+        family = LogarithmicFamily()
+        own = []
+        for (k, f), w in zip(batches, weights, strict=True):
+            family.add(names_of(k, f))
+            twin = np.zeros(len(k) + 1, dtype=bool)
+            twin[1:-1] = k[1:] == k[:-1]
+            # A batch that was merged from several blocks has met some of its names there.
+            own.append(np.where(w > 1, EXTENT, 0) | np.where(twin[1:] | twin[:-1], MIXED, 0))
+        marks = family.marks | np.concatenate(own).astype(np.uint8)
+        return np.split(marks, np.cumsum([len(w) for w in weights])[:-1])
 
 
 class _Block:
@@ -146,9 +151,9 @@ class _Block:
         f = mix(f ^ ((at - low).astype(U) << U(32)) ^ (high - low).astype(U))
         return low + a, high + a, k, f
 
-    def status(self, replies: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    def status(self, replies: pa.Table, shape: X.Shape) -> tuple[np.ndarray, np.ndarray]:
         """For each distinct suffix: does its whole extent occur again; must its starts be looked at one by one."""
-        marks = X.marks(replies, SUFFIXES, self.prefix, buckets)
+        marks = X.marks(Names, replies, [self.prefix, self.extent], shape)
         twin = np.zeros(len(marks) + 1, dtype=bool)
         twin[1:-1] = self.prefix[1:] == self.prefix[:-1]
         return (self.times > 1) | (marks & EXTENT > 0), twin[1:] | twin[:-1] | (marks & MIXED > 0)
@@ -172,33 +177,32 @@ class _Block:
         return start, X.distinct_pairs(a, b)
 
 
-def _send_suffixes(length: int, buckets: int):
+def _send_suffixes(length: int, shape: X.Shape):
     def send(table: pa.Table) -> pa.Table:
         block = _Block(table, length)
-        return X.messages(table["tl_block"][0].as_py(), SUFFIXES, [block.prefix, block.extent], buckets)
+        return X.messages(Names, table["tl_block"][0].as_py(), [block.prefix, block.extent], shape)
 
     return send
 
 
-def _send_strings(length: int, buckets: int):
+def _send_strings(length: int, shape: X.Shape):
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return X.messages(0, STRINGS, [np.zeros(0, U)], buckets)
         block = _Block(left, length)
-        _, (a, b, _, _) = block.strings(block.status(right, buckets)[1])
-        return X.messages(left["tl_block"][0].as_py(), STRINGS, [a, b], buckets)
+        full, mixed = block.status(right, shape)
+        _, (a, b, _, _) = block.strings(mixed)
+        note = np.packbits(np.concatenate([full, mixed])).tobytes()
+        return X.messages(X.Pairs, left["tl_block"][0].as_py(), [a, b], shape, note)
 
     return send
 
 
-def _finish(length: int, buckets: int, schema: pa.Schema, texts: bool):
+def _finish(length: int, shape: X.Shape, schema: pa.Schema, texts: bool):
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return schema.empty_table()
         block = _Block(left, length)
-        full, mixed = block.status(right, buckets)
-        start, (a, _, times, place) = block.strings(mixed)
-        again = ((X.marks(right, STRINGS, a, buckets) > 1) | (times > 1))[place]
+        n = len(block.prefix)
+        full, mixed = np.unpackbits(np.frombuffer(X.note(right), np.uint8), count=2 * n).astype(bool).reshape(2, n)
+        start, (a, b, times, place) = block.strings(mixed)
+        again = ((X.marks(X.Pairs, right, [a, b], shape) > 1) | (times > 1))[place]
         edge = np.zeros(len(block.buf) + 1, dtype=np.int32)
         whole = full[block.place]
         for at, to in ((block.low[whole], block.high[whole] + length), (start[again], start[again] + length)):
@@ -231,7 +235,13 @@ def _finish(length: int, buckets: int, schema: pa.Schema, texts: bool):
 
 
 def remove_long_matches(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_bytes: bool = False, carry: list[str] | None = None
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length: int = LENGTH,
+    keep_bytes: bool = False,
+    carry: list[str] | None = None,
+    shape: X.Shape | None = None,
 ) -> DataFrame:
     """One row a document: ``id_col, n_bytes, n_removed, n_spans, kept_sha256``.
 
@@ -239,12 +249,13 @@ def remove_long_matches(
     """
     if length < 2 * REACH + GRAM:
         raise ValueError(f"length must be at least {2 * REACH + GRAM} bytes")
-    rows, n = X.blocked(docs, id_col, text_col, carry)
-    found = X.resolve(X.send(rows, _send_suffixes(length, n)), _answer)
-    exact = X.resolve(X.with_replies(rows, found, _send_strings(length, n), X.MESSAGE), X.count_pairs)
+    shape = shape or X.shape_of(docs, text_col)
+    rows = X.blocked(docs, id_col, text_col, shape, carry)
+    found = X.resolve(X.send(rows, _send_suffixes(length, shape)), Names, shape)
+    exact = X.resolve(X.with_replies(rows, found, _send_strings(length, shape), X.MESSAGE), X.Pairs, shape)
     fields = [rows.schema["tl_id"], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())]
     if keep_bytes:
         fields += [T.StructField("kept", T.BinaryType()), rows.schema["tl_carry"]]
     schema = T.StructType(fields)
-    done = X.with_replies(rows, found.unionByName(exact), _finish(length, n, to_arrow(schema), keep_bytes), schema)
+    done = X.with_replies(rows, exact, _finish(length, shape, to_arrow(schema), keep_bytes), schema)
     return done.withColumnRenamed("tl_id", id_col)
