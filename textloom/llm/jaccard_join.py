@@ -48,6 +48,8 @@ SIMILAR = 75
 BAND, LEAST_PARTS = 8, 1024
 #: Rows of one symbol that are compared in one task.
 PIECE = 4096
+#: Bytes that a bucket of such tasks has on average.
+BUCKET_BYTES = 16 << 20
 FOUND = "id long, digest binary, n long, data binary, sketch binary, symbols array<long>"
 PAIR = "key long, a long, b long"
 NO_ID = -(2**63)
@@ -304,16 +306,29 @@ def forest(label: np.ndarray, size: np.ndarray, sketch: list[bytes], outer: np.n
 
 
 def _propose(table: pa.Table, refuted: pa.Table) -> pa.Table:
+    """The proposals of a bucket of tasks.  Symbols with the same documents have the same ones, which are found once."""
     schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
     if not table.num_rows:
         return schema.empty_table()
-    table = table.sort_by([("id", "ascending"), ("n", "ascending"), ("sketch", "ascending")])
-    ids, label = table["id"].to_numpy(), table["label"].to_numpy()
-    outer = np.flatnonzero(table["outer"].to_numpy(zero_copy_only=False))
-    barred = set(zip(refuted["a"].to_pylist(), refuted["b"].to_pylist(), strict=True))
-    x, y = forest(label, table["n"].to_numpy(), table["sketch"].to_pylist(), outer, barred, ids)
-    low, high = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
-    return pa.table([pa.array(np.full(len(x), table["key"][0].as_py()), pa.int64()), pa.array(low), pa.array(high)], schema=schema)
+    table = table.sort_by([(c, "ascending") for c in ("key", "i", "j", "id", "n", "sketch")])
+    key, i, j, ids, label, n = (table[c].to_numpy() for c in ("key", "i", "j", "id", "label", "n"))
+    outer, sketch = table["outer"].to_numpy(zero_copy_only=False), table["sketch"].to_pylist()
+    new = np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+    barred: dict[tuple, set] = {}
+    for k, p, q, x, y in zip(*(refuted[c].to_pylist() for c in ("tl_key", "tl_i", "tl_j", "a", "b")), strict=True):
+        barred.setdefault((k, p, q), set()).add((x, y))
+    known: dict[tuple, tuple] = {}
+    out = []
+    at = np.flatnonzero(new).tolist() + [len(key)]
+    for s, e in zip(at[:-1], at[1:]):
+        stop = barred.get((key[s], i[s], j[s]), set())
+        same = (ids[s:e].tobytes(), hash(b"".join(sketch[s:e])), outer[s:e].tobytes(), frozenset(stop))
+        if same not in known:
+            x, y = forest(label[s:e], n[s:e], sketch[s:e], np.flatnonzero(outer[s:e]), stop, ids[s:e])
+            known[same] = np.minimum(ids[s:e][x], ids[s:e][y]), np.maximum(ids[s:e][x], ids[s:e][y])
+        low, high = known[same]
+        out.append((np.full(len(low), key[s]), low, high))
+    return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], schema=schema)
 
 
 def _unsettled(keys: DataFrame, labels: DataFrame, sets: DataFrame, piece: int) -> DataFrame:
@@ -356,9 +371,12 @@ def linked(keys: DataFrame, sets: DataFrame, twins: DataFrame, piece: int = PIEC
     while True:
         not_ok = proposed.join(links, ["a", "b"], "left_anti").select("key", "a", "b")
         barred = checkpointed(not_ok if barred is None else barred.unionByName(not_ok))
-        tasks = _unsettled(keys, tree, sets, piece)
-        proposed = tasks.groupBy("key", "i", "j").cogroup(_dealt(barred, tasks).groupBy("tl_key", "tl_i", "tl_j")).applyInArrow(X.lean_pair(_propose), PAIR)
-        proposed = checkpointed(proposed)
+        tasks = checkpointed(_unsettled(keys, tree, sets, piece))
+        size = tasks.agg(F.sum(F.octet_length("sketch") + 64)).first()[0] or 0
+        buckets = max(X.partitions(keys.sparkSession), -(-size // BUCKET_BYTES))
+        into = lambda df, *c: df.withColumn("tl_bucket", F.pmod(F.xxhash64(*c), F.lit(buckets))).groupBy("tl_bucket")
+        stopped = into(_dealt(barred, tasks), "tl_key", "tl_i", "tl_j")
+        proposed = checkpointed(into(tasks, "key", "i", "j").cogroup(stopped).applyInArrow(X.lean_pair(_propose), PAIR))
         if proposed.isEmpty():
             return tree
         links = checkpointed(verified(proposed, sets))
