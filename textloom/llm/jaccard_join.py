@@ -16,7 +16,7 @@ all may differ takes a symbol that stands for all such documents of the band.
 Then, wherever the documents of a symbol are not all connected, those outside the largest connected part are held against all of
 them by Hamming distance in pieces of a bounded number of rows, and a forest that would connect all that are near enough is verified on the sets.
 That repeats without refuted pairs until a round has nothing to propose: then each pair that shares a symbol is refuted by the bound,
-refuted on the sets, or connected by verified links.
+refuted on the sets, or connected by verified links.  Each round proposes more pairs a row, nearest first, so rounds are few.
 
 Texts of equal words (in any case and spacing) are one class and compared once.  Symbols are counted in a presence exchange; only
 shared ones among the first leave a block, as plain rows, and a symbol that a third of all rows hold is aggregated before it is shuffled.
@@ -48,6 +48,8 @@ SIMILAR = 75
 BAND, LEAST_PARTS = 8, 1024
 #: Rows of one symbol that are compared in one task.
 PIECE = 4096
+#: Pairs proposed for a row and a connected part in the first round; eight times as many in each further one, until none is left.
+CLOSEST = 16
 #: Bytes that a bucket of such tasks has on average.
 BUCKET_BYTES = 16 << 20
 FOUND = "id long, digest binary, n long, data binary, sketch binary, symbols array<long>"
@@ -273,10 +275,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return tried.filter("ok").select("a", "b").distinct()
 
 
-def forest(label: np.ndarray, size: np.ndarray, sketch: list[bytes], outer: np.ndarray, barred: set[tuple[int, int]], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forest(
+    label: np.ndarray, size: np.ndarray, sketch: list[bytes], outer: np.ndarray, barred: set[tuple[int, int]], ids: np.ndarray, most: int
+) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows near enough to link that would connect all which such pairs connect, beyond equal labels.
 
-    ``outer`` are the rows to hold against all; pairs of ids in ``barred`` are left out.
+    ``outer`` are the rows to hold against all; pairs of ids in ``barred`` are left out.  A row is paired with the ``most`` nearest of each
+    connected part: any of them would do, if it links.
     """
     least = min(map(len, sketch))
     width = -(-least // 8) * 8
@@ -292,43 +297,46 @@ def forest(label: np.ndarray, size: np.ndarray, sketch: list[bytes], outer: np.n
         if not len(others):
             continue
         distance = np.bitwise_count(flat[others] ^ flat[x]).sum(axis=1, dtype=np.int64)
-        others = others[7 * distance <= size[others] + size[x]]
+        close = 7 * distance <= size[others] + size[x]
         if barred:
-            others = np.array([y for y in others.tolist() if (min(ids[x], ids[y]), max(ids[x], ids[y])) not in barred], dtype=np.int64)
+            close[close] = [(min(ids[x], ids[y]), max(ids[x], ids[y])) not in barred for y in others[close].tolist()]
+        others, distance = others[close], distance[close]
         if not len(others):
             continue
-        _, one = np.unique(part[others], return_index=True)  # one of each part is enough
-        others = others[one]
+        others = others[np.lexsort((distance, part[others]))]
+        of = part[others]
+        begin = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        others = others[np.arange(len(of)) - np.repeat(begin, np.diff(np.append(begin, len(of)))) < most]
         out_a += [x] * len(others)
         out_b += others.tolist()
         part[np.isin(part, part[others])] = part[x]
     return np.array(out_a, dtype=np.int64), np.array(out_b, dtype=np.int64)
 
 
-def _propose(table: pa.Table, refuted: pa.Table) -> pa.Table:
-    """The proposals of a bucket of tasks.  Symbols with the same documents have the same ones, which are found once."""
-    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-    if not table.num_rows:
-        return schema.empty_table()
-    table = table.sort_by([(c, "ascending") for c in ("key", "i", "j", "id", "n", "sketch")])
-    key, i, j, ids, label, n = (table[c].to_numpy() for c in ("key", "i", "j", "id", "label", "n"))
-    outer, sketch = table["outer"].to_numpy(zero_copy_only=False), table["sketch"].to_pylist()
-    new = np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
-    barred: dict[tuple, set] = {}
-    for k, p, q, x, y in zip(*(refuted[c].to_pylist() for c in ("tl_key", "tl_i", "tl_j", "a", "b")), strict=True):
-        barred.setdefault((k, p, q), set()).add((x, y))
-    known: dict[tuple, tuple] = {}
-    out = []
-    at = np.flatnonzero(new).tolist() + [len(key)]
-    for s, e in zip(at[:-1], at[1:]):
-        stop = barred.get((key[s], i[s], j[s]), set())
-        same = (ids[s:e].tobytes(), hash(b"".join(sketch[s:e])), outer[s:e].tobytes(), frozenset(stop))
-        if same not in known:
-            x, y = forest(label[s:e], n[s:e], sketch[s:e], np.flatnonzero(outer[s:e]), stop, ids[s:e])
-            known[same] = np.minimum(ids[s:e][x], ids[s:e][y]), np.maximum(ids[s:e][x], ids[s:e][y])
-        low, high = known[same]
-        out.append((np.full(len(low), key[s]), low, high))
-    return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], schema=schema)
+def _propose(most: int):
+    """The proposals of a bucket of tasks, of ``most`` pairs for a row and a connected part."""
+
+    def propose(table: pa.Table, refuted: pa.Table) -> pa.Table:
+        schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+        if not table.num_rows:
+            return schema.empty_table()
+        table = table.sort_by([(c, "ascending") for c in ("key", "i", "j", "id", "n", "sketch")])
+        key, i, j, ids, label, n = (table[c].to_numpy() for c in ("key", "i", "j", "id", "label", "n"))
+        outer, sketch = table["outer"].to_numpy(zero_copy_only=False), table["sketch"].to_pylist()
+        new = np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+        barred: dict[tuple, set] = {}
+        for k, p, q, x, y in zip(*(refuted[c].to_pylist() for c in ("tl_key", "tl_i", "tl_j", "a", "b")), strict=True):
+            barred.setdefault((k, p, q), set()).add((x, y))
+        out = []
+        at = np.flatnonzero(new).tolist() + [len(key)]
+        for s, e in zip(at[:-1], at[1:]):
+            stop = barred.get((key[s], i[s], j[s]), set())
+            x, y = forest(label[s:e], n[s:e], sketch[s:e], np.flatnonzero(outer[s:e]), stop, ids[s:e], most)
+            x, y = ids[s:e][x], ids[s:e][y]
+            out.append((np.full(len(x), key[s]), np.minimum(x, y), np.maximum(x, y)))
+        return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], schema=schema)
+
+    return propose
 
 
 def _unsettled(keys: DataFrame, labels: DataFrame, sets: DataFrame, piece: int) -> DataFrame:
@@ -361,25 +369,31 @@ def linked(keys: DataFrame, sets: DataFrame, twins: DataFrame, piece: int = PIEC
 
     ``keys``: ``key, id`` of shared symbols; ``sets``: ``id, n, sketch, data``; ``twins``: ``a, b`` that are connected from the start.
     """
-    least = keys.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("tl_most")).filter("b < tl_most")
-    least = least.select(F.col("key").alias("tl_key"), "b")
+    code = lambda i: F.bit_xor(F.xxhash64("id", F.lit(i)))
+    seen = keys.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("most"), F.count(F.lit(1)).alias("rows"), code(1).alias("x"), code(2).alias("y"))
+    # Of symbols with the same documents (by 128 bits) one is enough.
+    least = seen.filter("b < most").groupBy("b", "most", "rows", "x", "y").agg(F.min("key").alias("tl_key")).select("tl_key", "b")
     keys = checkpointed(keys.join(least, keys["key"] == least["tl_key"]).select("key", "id", "b"))
     proposed = keys.filter("id > b").select("key", F.col("b").alias("a"), F.col("id").alias("b"))
     keys = keys.select("key", "id")
     links = checkpointed(verified(proposed, sets))
-    tree, barred = components(links.unionByName(twins)), None
+    tree, barred, tasks, most = components(links.unionByName(twins)), None, None, CLOSEST
     while True:
         not_ok = proposed.join(links, ["a", "b"], "left_anti").select("key", "a", "b")
         barred = checkpointed(not_ok if barred is None else barred.unionByName(not_ok))
-        tasks = checkpointed(_unsettled(keys, tree, sets, piece))
+        tasks = tasks or checkpointed(_unsettled(keys, tree, sets, piece))
         size = tasks.agg(F.sum(F.octet_length("sketch") + 64)).first()[0] or 0
         buckets = max(X.partitions(keys.sparkSession), -(-size // BUCKET_BYTES))
         into = lambda df, *c: df.withColumn("tl_bucket", F.pmod(F.xxhash64(*c), F.lit(buckets))).groupBy("tl_bucket")
         stopped = into(_dealt(barred, tasks), "tl_key", "tl_i", "tl_j")
-        proposed = checkpointed(into(tasks, "key", "i", "j").cogroup(stopped).applyInArrow(X.lean_pair(_propose), PAIR))
+        proposed = checkpointed(into(tasks, "key", "i", "j").cogroup(stopped).applyInArrow(X.lean_pair(_propose(most)), PAIR))
         if proposed.isEmpty():
             return tree
+        most *= 8
         links = checkpointed(verified(proposed, sets))
+        if links.isEmpty():
+            continue
+        tasks = None
         own = tree.filter("id > component").select(F.col("id").alias("a"), F.col("component").alias("b"))
         tree = components(links.unionByName(own))
 
