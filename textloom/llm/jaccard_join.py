@@ -13,8 +13,8 @@ of 8; a document takes part in its own band and, where a partner may be in the n
 all may differ takes a symbol that stands for all such documents of the band.
 
 *Verification* never forms all pairs of documents that share a symbol.  First each is compared with the least id that shares the symbol.
-Then, wherever the documents of a symbol are not all connected, those outside the largest connected part are held against all of
-them by Hamming distance in pieces of a bounded number of rows, and a forest that would connect all that are near enough is verified on the sets.
+Then, wherever the documents of a symbol are not all connected, those outside the largest connected part are held against that part and
+each other by Hamming distance, in pieces of a bounded number of rows, and a forest that would connect all that are near enough is verified on the sets.
 That repeats without refuted pairs until a round has nothing to propose: then each pair that shares a symbol is refuted by the bound,
 refuted on the sets, or connected by verified links.  Each round proposes more pairs a row, nearest first, so rounds are few.
 
@@ -50,10 +50,11 @@ BAND, LEAST_PARTS = 8, 1024
 PIECE = 4096
 #: Pairs proposed for a row and a connected part in the first round; eight times as many in each further one, until none is left.
 CLOSEST = 16
+#: Pairs (of 16 bytes) that are broadcast at most; more are shuffled.
+SMALL = 10_000
 #: Bytes that a bucket of such tasks has on average.
 BUCKET_BYTES = 16 << 20
 FOUND = "id long, digest binary, n long, data binary, sketch binary, symbols array<long>"
-PAIR = "key long, a long, b long"
 NO_ID = -(2**63)
 
 
@@ -248,31 +249,41 @@ def near(a: bytes, b: bytes, size: int) -> bool:
     return 7 * int(np.bitwise_count(folded(a, least) ^ folded(b, least)).sum()) <= size
 
 
-def _verify(batches):
+def _near(batches):
     for batch in batches:
-        na, nb = batch["na"].to_pylist(), batch["nb"].to_pylist()
-        sketches = zip(batch["sa"], batch["sb"], strict=True)
-        close = [near(x.as_py(), y.as_py(), i + j) for (x, y), i, j in zip(sketches, na, nb, strict=True)]
-        data = zip(batch["da"], batch["db"], close, strict=True)
-        ok = [c and similar(x.as_py(), y.as_py()) for x, y, c in data]
+        rows = zip(*(batch[c].to_pylist() for c in ("sa", "sb", "na", "nb")), strict=True)
+        close = pa.array([near(x, y, i + j) for x, y, i, j in rows], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], close], names=["a", "b", "ok"])
+
+
+def _similar(batches):
+    for batch in batches:
+        ok = [similar(x.as_py(), y.as_py()) for x, y in zip(batch["da"], batch["db"], strict=True)]
         yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
     release()
 
 
+TRIED = "a long, b long, ok boolean"
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, ok`` of distinct pairs of ids: whether any sets of the two link."""
-    side = lambda i: sets.select(F.col("id").alias(f"i{i}"), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"s{i}"), F.col("data").alias(f"d{i}"))
-    sized = side("b").select("ib", "nb").withColumnsRenamed({"ib": "ic", "nb": "nc"})
-    fits = lambda x, y: 4 * F.least(x, y) >= 3 * F.greatest(x, y)
-    a = side("a")
+    """``a, b`` of those pairs of ids of which any sets link: by sizes and sketches first, then by the sets."""
+    side = lambda i, *c: sets.select(F.col("id").alias(f"i{i}"), *[F.col(k).alias(f"{k[0]}{i}") for k in c])
+    a, b = side("a", "n", "sketch"), side("b", "n", "sketch")
     pairs = pairs.select("a", "b").distinct()
-    # Pairs whose sizes are too far apart need no sets.
-    light = pairs.join(sized, pairs["b"] == sized["ic"]).select("a", "b", "nc")
-    both = light.join(a, (light["a"] == a["ia"]) & fits(F.col("nc"), F.col("na"))).drop("nc")
-    b = side("b")
-    both = both.join(b, (both["b"] == b["ib"]) & fits(F.col("na"), F.col("nb")))
-    tried = both.select("a", "b", "na", "nb", "sa", "sb", "da", "db").mapInArrow(_verify, "a long, b long, ok boolean")
-    return tried.filter("ok").select("a", "b").distinct()
+    light = pairs.join(a, pairs["a"] == a["ia"])
+    light = light.join(b, (light["b"] == b["ib"]) & (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")))
+    close = light.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near, TRIED).filter("ok").select("a", "b").distinct()
+    close = checkpointed(close)
+    few = close.count() <= SMALL
+    least = F.broadcast if few else lambda df: df
+    x, y = side("a", "data"), side("b", "data")
+    if few:
+        ids = close.select(F.col("b").alias("tl_b")).distinct()
+        y = y.join(F.broadcast(ids), y["ib"] == ids["tl_b"], "left_semi")
+    both = x.join(least(close), close["a"] == x["ia"]).select("a", "b", "da")
+    both = both.join(y, both["b"] == y["ib"]).select("a", "b", "da", "db")
+    return both.mapInArrow(_similar, TRIED).filter("ok").select("a", "b").distinct()
 
 
 def forest(
@@ -317,51 +328,70 @@ def _propose(most: int):
     """The proposals of a bucket of tasks, of ``most`` pairs for a row and a connected part."""
 
     def propose(table: pa.Table, refuted: pa.Table) -> pa.Table:
-        schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         if not table.num_rows:
             return schema.empty_table()
-        table = table.sort_by([(c, "ascending") for c in ("key", "i", "j", "id", "n", "sketch")])
-        key, i, j, ids, label, n = (table[c].to_numpy() for c in ("key", "i", "j", "id", "label", "n"))
+        table = table.sort_by([(c, "ascending") for c in ("task", "id", "n", "sketch")])
+        task = table["task"].combine_chunks().dictionary_encode()
+        task, names = task.indices.to_numpy(), task.dictionary.to_pylist()
+        ids, label, n = (table[c].to_numpy() for c in ("id", "label", "n"))
         outer, sketch = table["outer"].to_numpy(zero_copy_only=False), table["sketch"].to_pylist()
-        new = np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
-        barred: dict[tuple, set] = {}
-        for k, p, q, x, y in zip(*(refuted[c].to_pylist() for c in ("tl_key", "tl_i", "tl_j", "a", "b")), strict=True):
-            barred.setdefault((k, p, q), set()).add((x, y))
+        barred: dict[str, set] = {}
+        for t, x, y in zip(*(refuted[c].to_pylist() for c in ("tl_task", "a", "b")), strict=True):
+            barred.setdefault(t, set()).add((x, y))
         out = []
-        at = np.flatnonzero(new).tolist() + [len(key)]
+        at = np.flatnonzero(np.append(True, task[1:] != task[:-1])).tolist() + [len(task)]
         for s, e in zip(at[:-1], at[1:]):
-            stop = barred.get((key[s], i[s], j[s]), set())
+            stop = barred.get(names[task[s]], set())
             x, y = forest(label[s:e], n[s:e], sketch[s:e], np.flatnonzero(outer[s:e]), stop, ids[s:e], most)
             x, y = ids[s:e][x], ids[s:e][y]
-            out.append((np.full(len(x), key[s]), np.minimum(x, y), np.maximum(x, y)))
+            out.append((np.minimum(x, y), np.maximum(x, y)))
         return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], schema=schema)
 
     return propose
 
 
 def _unsettled(keys: DataFrame, labels: DataFrame, sets: DataFrame, piece: int) -> DataFrame:
-    """``key, task, outer, id, label, n, sketch`` of symbols whose documents aren't all connected, dealt to tasks of bounded size.
+    """``task, outer, id, label, n, sketch``: what has still to be compared, dealt to tasks of bounded size.
 
-    Documents outside a symbol's largest connected part (outer) meet all of the symbol's documents.  Pieces of outer ones go
-    by pieces of all; a document goes to as many tasks as there are pieces on the other side.
+    Where the documents of a symbol aren't all connected, those outside its largest part (outer) are held against all that part's
+    documents, once a part however many symbols say so, and against each other, once for each set of such documents.
+    Pieces go by pieces: a document goes to as many tasks as there are pieces on the other side.
     """
     of = labels.withColumnRenamed("id", "tl_of")
     marked = keys.join(of, keys["id"] == of["tl_of"], "left").select("key", "id", F.coalesce("component", "id").alias("label"))
     parts = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"))
-    top = parts.groupBy(F.col("key").alias("tl_key")).agg(
-        F.max(F.struct("rows", "label")).alias("top"), F.sum("rows").alias("all"), F.count(F.lit(1)).alias("parts")
-    )
-    top = top.filter("parts > 1").select("tl_key", F.col("top.label").alias("main"), F.col("all"), (F.col("all") - F.col("top.rows")).alias("apart"))
-    open_ = marked.join(top, marked["key"] == top["tl_key"])
+    top = parts.groupBy(F.col("key").alias("tl_key")).agg(F.max(F.struct("rows", "label")).alias("top"), F.count(F.lit(1)).alias("parts"))
+    top = top.filter("parts > 1").select("tl_key", F.col("top.label").alias("main"), "parts")
+    outer = checkpointed(marked.join(top, (marked["key"] == top["tl_key"]) & (marked["label"] != top["main"])).select("key", "id", "label", "main", "parts"))
+    # Against the largest part.
+    ours = outer.select("main", "id", "label").distinct()
+    mains = ours.groupBy("main").agg(F.count(F.lit(1)).alias("many"))
+    whole = mains.join(of, mains["main"] == of["component"], "left").select("main", "many", F.coalesce("tl_of", "main").alias("id"))
+    sized = whole.groupBy("main").agg(F.count(F.lit(1)).alias("all"), F.max("many").alias("many")).withColumnRenamed("main", "tl_main")
     pieces = lambda c: F.ceil(F.col(c) / piece).cast("int")
     mine = lambda c: F.pmod(F.xxhash64("id"), pieces(c)).cast("int")
-    outer = F.col("label") != F.col("main")
-    to_all = F.transform(F.sequence(F.lit(0), pieces("all") - 1), lambda j: F.struct(mine("apart").alias("i"), j.alias("j"), F.lit(True).alias("outer")))
-    to_outer = F.transform(F.sequence(F.lit(0), pieces("apart") - 1), lambda i: F.struct(i.alias("i"), mine("all").alias("j"), F.lit(False).alias("outer")))
-    dealt = open_.select("key", "id", "label", F.explode(F.when(outer, F.concat(to_all, to_outer)).otherwise(to_outer)).alias("t"))
-    dealt = dealt.groupBy("key", "id", "label", "t.i", "t.j").agg(F.max("t.outer").alias("outer"))
+    upto = lambda c: F.sequence(F.lit(0), pieces(c) - 1)
+    name = lambda kind, of_, i, j: F.concat_ws(" ", F.lit(kind), of_, i, j)
+    deal = lambda df, to, label, out: df.select(F.explode(to).alias("task"), F.lit(out).alias("outer"), "id", F.col(label).alias("label"))
+    one = ours.join(sized, ours["main"] == sized["tl_main"])
+    two = whole.drop("many").join(sized, whole["main"] == sized["tl_main"])
+    dealt = [
+        deal(one, F.transform(upto("all"), lambda j: name("part", F.col("main"), mine("many"), j)), "label", True),
+        deal(two, F.transform(upto("many"), lambda i: name("part", F.col("main"), i, mine("all"))), "main", False),
+    ]
+    # Against each other.
+    code = lambda i: F.bit_xor(F.xxhash64("id", F.lit(i)))
+    groups = outer.filter("parts > 2").groupBy("key").agg(F.count(F.lit(1)).alias("all"), code(1).alias("x"), code(2).alias("y"))
+    groups = groups.groupBy("all", "x", "y").agg(F.min("key").alias("tl_key")).select("tl_key", "all")
+    rest = outer.join(groups, outer["key"] == groups["tl_key"]).select("key", "id", "label", "all")
+    dealt += [
+        deal(rest, F.transform(F.sequence(mine("all"), pieces("all") - 1), lambda j: name("rest", F.col("key"), mine("all"), j)), "label", True),
+        deal(rest.filter(mine("all") > 0), F.transform(F.sequence(F.lit(0), mine("all") - 1), lambda i: name("rest", F.col("key"), i, mine("all"))), "label", False),
+    ]
+    tasks = dealt[0].unionByName(dealt[1]).unionByName(dealt[2]).unionByName(dealt[3])
     small = sets.select(F.col("id").alias("tl_of"), "n", "sketch")
-    return dealt.join(small, dealt["id"] == small["tl_of"]).select("key", "i", "j", "outer", "id", "label", "n", "sketch")
+    return tasks.join(small, tasks["id"] == small["tl_of"]).select("task", "outer", "id", "label", "n", "sketch")
 
 
 def linked(keys: DataFrame, sets: DataFrame, twins: DataFrame, piece: int = PIECE) -> DataFrame:
@@ -374,19 +404,19 @@ def linked(keys: DataFrame, sets: DataFrame, twins: DataFrame, piece: int = PIEC
     # Of symbols with the same documents (by 128 bits) one is enough.
     least = seen.filter("b < most").groupBy("b", "most", "rows", "x", "y").agg(F.min("key").alias("tl_key")).select("tl_key", "b")
     keys = checkpointed(keys.join(least, keys["key"] == least["tl_key"]).select("key", "id", "b"))
-    proposed = keys.filter("id > b").select("key", F.col("b").alias("a"), F.col("id").alias("b"))
+    proposed = checkpointed(keys.filter("id > b").select(F.col("b").alias("a"), F.col("id").alias("b")).distinct())
     keys = keys.select("key", "id")
     links = checkpointed(verified(proposed, sets))
     tree, barred, tasks, most = components(links.unionByName(twins)), None, None, CLOSEST
     while True:
-        not_ok = proposed.join(links, ["a", "b"], "left_anti").select("key", "a", "b")
+        not_ok = proposed.join(links, ["a", "b"], "left_anti")
         barred = checkpointed(not_ok if barred is None else barred.unionByName(not_ok))
         tasks = tasks or checkpointed(_unsettled(keys, tree, sets, piece))
         size = tasks.agg(F.sum(F.octet_length("sketch") + 64)).first()[0] or 0
         buckets = max(X.partitions(keys.sparkSession), -(-size // BUCKET_BYTES))
-        into = lambda df, *c: df.withColumn("tl_bucket", F.pmod(F.xxhash64(*c), F.lit(buckets))).groupBy("tl_bucket")
-        stopped = into(_dealt(barred, tasks), "tl_key", "tl_i", "tl_j")
-        proposed = checkpointed(into(tasks, "key", "i", "j").cogroup(stopped).applyInArrow(X.lean_pair(_propose(most)), PAIR))
+        into = lambda df, c: df.groupBy(F.pmod(F.xxhash64(c), F.lit(buckets)))
+        pairs = into(tasks, "task").cogroup(into(_dealt(barred, tasks), "tl_task")).applyInArrow(X.lean_pair(_propose(most)), "a long, b long")
+        proposed = checkpointed(pairs.distinct())
         if proposed.isEmpty():
             return tree
         most *= 8
@@ -399,12 +429,10 @@ def linked(keys: DataFrame, sets: DataFrame, twins: DataFrame, piece: int = PIEC
 
 
 def _dealt(barred: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Refuted pairs with each task of their symbol that holds both."""
-    names = {"key": "tl_key", "i": "tl_i", "j": "tl_j"}
-    seats = tasks.select("key", "i", "j", "id").distinct().withColumnsRenamed(names)
-    pairs = barred.select(F.col("key").alias("tl_key"), "a", "b")
-    one = pairs.join(seats.withColumnRenamed("id", "a"), ["tl_key", "a"])
-    return one.join(seats.withColumnRenamed("id", "b"), [*names.values(), "b"]).select(*names.values(), "a", "b")
+    """Refuted pairs with each task that holds both."""
+    seats = tasks.select(F.col("task").alias("tl_task"), F.col("id").alias("a")).distinct()
+    other = tasks.select(F.col("task").alias("tl_task"), F.col("id").alias("b")).distinct()
+    return barred.join(seats, "a").join(other, ["tl_task", "b"]).select("tl_task", "a", "b")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
