@@ -200,13 +200,14 @@ def test_sketches_bound_the_symmetric_difference():
         assert distance <= len(np.setxor1d(a, b))
 
 
-def test_proposals_go_on_until_all_pairs_are_settled(spark):
-    """Documents that share one symbol: a chain whose ends don't link, and far ones; tasks of two rows."""
+def test_proposals_go_on_until_all_pairs_are_settled(spark, monkeypatch):
+    """Documents that share one symbol: a chain whose ends don't link, and far ones; tasks of two rows, one proposal a row."""
+    monkeypatch.setattr(jaccard_join, "CLOSEST", 1)
     sets = [np.arange(10 * i, 10 * i + 100, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for i in (0, 2, 1, 3, 90, 91)]
     sets = [np.sort(x) for x in sets]
     rows = [(i, len(x), jaccard_join.sketch_of(x), x.astype("<u8").tobytes()) for i, x in enumerate(sets)]
     frame_ = spark.createDataFrame(rows, "id long, n long, sketch binary, data binary")
-    keys = spark.createDataFrame([(7, i) for i in range(6)], "key long, id long")
+    keys = spark.createDataFrame([(7, i, i) for i in range(6)], "key long, id long, row long")
     none = spark.createDataFrame([], "a long, b long")
     got = {r["id"]: r["component"] for r in jaccard_join.linked(keys, frame_, none, piece=2).collect()}
     assert {i: got.get(i, i) for i in range(6)} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4}

@@ -14,9 +14,9 @@ all may differ takes a symbol that stands for all such documents of the band.
 
 *Verification* never forms all pairs of documents that share a symbol.  First each is compared with the least id that shares the symbol.
 Then, wherever the documents of a symbol are not all connected, those outside the largest connected part are held against that part and
-each other by Hamming distance, in pieces of a bounded number of rows, and a forest that would connect all that are near enough is verified on the sets.
-That repeats without refuted pairs until a round has nothing to propose: then each pair that shares a symbol is refuted by the bound,
-refuted on the sets, or connected by verified links.  Each round proposes more pairs a row, nearest first, so rounds are few.
+each other by Hamming distance, in pieces of a bounded number of rows, and the nearest of those near enough are verified on the sets.
+That repeats, with more pairs a row each time, until a round has nothing new to propose and leaves nothing out: then each pair
+that shares a symbol is refuted by the bound, refuted on the sets, or connected by verified links.
 
 Texts of equal words (in any case and spacing) are one class and compared once.  Symbols are counted in a presence exchange; only
 shared ones among the first leave a block, as plain rows, and a symbol that a third of all rows hold is aggregated before it is shuffled.
@@ -48,10 +48,10 @@ SIMILAR = 75
 BAND, LEAST_PARTS = 8, 1024
 #: Rows of one symbol that are compared in one task.
 PIECE = 4096
-#: Pairs proposed for a row and a connected part in the first round; eight times as many in each further one, until none is left.
-CLOSEST = 16
+#: Pairs proposed for a row in the first round, and how many times as many in each further one, until none is left out.
+CLOSEST, GROWTH = 16, 8
 #: Pairs (of 16 bytes) that are broadcast at most; more are shuffled.
-SMALL = 10_000
+SMALL = 100_000
 #: Bytes that a bucket of such tasks has on average.
 BUCKET_BYTES = 16 << 20
 FOUND = "id long, digest binary, n long, data binary, sketch binary, symbols array<long>"
@@ -286,67 +286,44 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(_similar, TRIED).filter("ok").select("a", "b").distinct()
 
 
-def forest(
-    label: np.ndarray, size: np.ndarray, sketch: list[bytes], outer: np.ndarray, barred: set[tuple[int, int]], ids: np.ndarray, most: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows near enough to link that would connect all which such pairs connect, beyond equal labels.
-
-    ``outer`` are the rows to hold against all; pairs of ids in ``barred`` are left out.  A row is paired with the ``most`` nearest of each
-    connected part: any of them would do, if it links.
-    """
+def nearest(label: np.ndarray, size: np.ndarray, sketch: list[bytes], outer: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """For each row of ``outer`` the ``most`` rows of other labels that are nearest, of those near enough to link; and whether there are more."""
     least = min(map(len, sketch))
-    width = -(-least // 8) * 8
-    flat = np.zeros((len(sketch), width), dtype=np.uint8)
+    flat = np.zeros((len(sketch), -(-least // 8) * 8), dtype=np.uint8)
     for i, s in enumerate(sketch):
         flat[i, :least] = folded(s, least)
     flat = flat.view(np.uint64)
-    names, part = np.unique(label, return_inverse=True)
-    part = part.copy()
-    out_a, out_b = [], []
+    out_a, out_b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
     for x in outer.tolist():
-        others = np.flatnonzero((part != part[x]) & (4 * np.minimum(size, size[x]) >= 3 * np.maximum(size, size[x])))
-        if not len(others):
-            continue
+        others = np.flatnonzero((label != label[x]) & (4 * np.minimum(size, size[x]) >= 3 * np.maximum(size, size[x])))
         distance = np.bitwise_count(flat[others] ^ flat[x]).sum(axis=1, dtype=np.int64)
         close = 7 * distance <= size[others] + size[x]
-        if barred:
-            close[close] = [(min(ids[x], ids[y]), max(ids[x], ids[y])) not in barred for y in others[close].tolist()]
         others, distance = others[close], distance[close]
-        if not len(others):
-            continue
-        others = others[np.lexsort((distance, part[others]))]
-        of = part[others]
-        begin = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-        others = others[np.arange(len(of)) - np.repeat(begin, np.diff(np.append(begin, len(of)))) < most]
-        out_a += [x] * len(others)
-        out_b += others.tolist()
-        part[np.isin(part, part[others])] = part[x]
-    return np.array(out_a, dtype=np.int64), np.array(out_b, dtype=np.int64)
+        if len(others) > most:
+            others, more = others[np.argsort(distance, kind="stable")[:most]], True
+        out_a.append(np.full(len(others), x))
+        out_b.append(others)
+    return np.concatenate(out_a), np.concatenate(out_b), more
 
 
 def _propose(most: int):
-    """The proposals of a bucket of tasks, of ``most`` pairs for a row and a connected part."""
+    """The pairs of a bucket of tasks worth verifying; a row without ids says that there are more."""
 
-    def propose(table: pa.Table, refuted: pa.Table) -> pa.Table:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        if not table.num_rows:
-            return schema.empty_table()
+    def propose(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in ("task", "id", "n", "sketch")])
-        task = table["task"].combine_chunks().dictionary_encode()
-        task, names = task.indices.to_numpy(), task.dictionary.to_pylist()
+        task = table["task"].combine_chunks().dictionary_encode().indices.to_numpy()
         ids, label, n = (table[c].to_numpy() for c in ("id", "label", "n"))
         outer, sketch = table["outer"].to_numpy(zero_copy_only=False), table["sketch"].to_pylist()
-        barred: dict[str, set] = {}
-        for t, x, y in zip(*(refuted[c].to_pylist() for c in ("tl_task", "a", "b")), strict=True):
-            barred.setdefault(t, set()).add((x, y))
-        out = []
+        low, high, more = [], [], False
         at = np.flatnonzero(np.append(True, task[1:] != task[:-1])).tolist() + [len(task)]
         for s, e in zip(at[:-1], at[1:]):
-            stop = barred.get(names[task[s]], set())
-            x, y = forest(label[s:e], n[s:e], sketch[s:e], np.flatnonzero(outer[s:e]), stop, ids[s:e], most)
-            x, y = ids[s:e][x], ids[s:e][y]
-            out.append((np.minimum(x, y), np.maximum(x, y)))
-        return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], schema=schema)
+            x, y, cut = nearest(label[s:e], n[s:e], sketch[s:e], np.flatnonzero(outer[s:e]), most)
+            x, y, more = ids[s:e][x], ids[s:e][y], more or cut
+            low.append(np.minimum(x, y))
+            high.append(np.maximum(x, y))
+        found = pa.table({"a": pa.array(np.concatenate(low), pa.int64()), "b": pa.array(np.concatenate(high), pa.int64())})
+        found = found.group_by(["a", "b"]).aggregate([]).cast(pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        return pa.concat_tables([found, pa.table({"a": [None], "b": [None]}, schema=found.schema)]) if more else found
 
     return propose
 
@@ -363,7 +340,7 @@ def _unsettled(keys: DataFrame, labels: DataFrame, sets: DataFrame, piece: int)
     parts = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"))
     top = parts.groupBy(F.col("key").alias("tl_key")).agg(F.max(F.struct("rows", "label")).alias("top"), F.count(F.lit(1)).alias("parts"))
     top = top.filter("parts > 1").select("tl_key", F.col("top.label").alias("main"), "parts")
-    outer = checkpointed(marked.join(top, (marked["key"] == top["tl_key"]) & (marked["label"] != top["main"])).select("key", "id", "label", "main", "parts"))
+    outer = checkpointed(marked.join(top, (marked["key"] == top["tl_key"]) & (marked["label"] != top["main"])).select("key", "id", "label", "main", "parts").distinct())
     # Against the largest part.
     ours = outer.select("main", "id", "label").distinct()
     mains = ours.groupBy("main").agg(F.count(F.lit(1)).alias("many"))
@@ -397,42 +374,36 @@ def _unsettled(keys: DataFrame, labels: DataFrame, sets: DataFrame, piece: int)
 def linked(keys: DataFrame, sets: DataFrame, twins: DataFrame, piece: int = PIECE) -> DataFrame:
     """``id, component`` of the documents that link with others.
 
-    ``keys``: ``key, id`` of shared symbols; ``sets``: ``id, n, sketch, data``; ``twins``: ``a, b`` that are connected from the start.
+    ``keys``: ``key, id, row`` of shared symbols (``row`` tells sets of equal ids apart); ``sets``: ``id, n, sketch, data``; ``twins``: ``a, b`` that are connected from the start.
     """
-    code = lambda i: F.bit_xor(F.xxhash64("id", F.lit(i)))
-    seen = keys.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("most"), F.count(F.lit(1)).alias("rows"), code(1).alias("x"), code(2).alias("y"))
-    # Of symbols with the same documents (by 128 bits) one is enough.
-    least = seen.filter("b < most").groupBy("b", "most", "rows", "x", "y").agg(F.min("key").alias("tl_key")).select("tl_key", "b")
+    seen = keys.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("most"), F.bit_xor(F.xxhash64("id", "row")).alias("x"))
+    # Of symbols with the same documents (by 64 bits, the first and the last of them) one is enough.
+    least = seen.filter("b < most").groupBy("b", "most", "x").agg(F.min("key").alias("tl_key")).select("tl_key", "b")
     keys = checkpointed(keys.join(least, keys["key"] == least["tl_key"]).select("key", "id", "b"))
     proposed = checkpointed(keys.filter("id > b").select(F.col("b").alias("a"), F.col("id").alias("b")).distinct())
     keys = keys.select("key", "id")
     links = checkpointed(verified(proposed, sets))
-    tree, barred, tasks, most = components(links.unionByName(twins)), None, None, CLOSEST
+    tree = components(links.unionByName(twins))
+    tried, tasks, most = proposed, None, CLOSEST
     while True:
-        not_ok = proposed.join(links, ["a", "b"], "left_anti")
-        barred = checkpointed(not_ok if barred is None else barred.unionByName(not_ok))
-        tasks = tasks or checkpointed(_unsettled(keys, tree, sets, piece))
-        size = tasks.agg(F.sum(F.octet_length("sketch") + 64)).first()[0] or 0
+        if tasks is None:
+            tasks = checkpointed(_unsettled(keys, tree, sets, piece))
+            size = tasks.agg(F.sum(F.octet_length("sketch") + 64)).first()[0] or 0
         buckets = max(X.partitions(keys.sparkSession), -(-size // BUCKET_BYTES))
-        into = lambda df, c: df.groupBy(F.pmod(F.xxhash64(c), F.lit(buckets)))
-        pairs = into(tasks, "task").cogroup(into(_dealt(barred, tasks), "tl_task")).applyInArrow(X.lean_pair(_propose(most)), "a long, b long")
-        proposed = checkpointed(pairs.distinct())
+        bucket = F.pmod(F.xxhash64("task"), F.lit(buckets))
+        found = checkpointed(tasks.groupBy(bucket).applyInArrow(X.lean(_propose(most)), "a long, b long").distinct())
+        proposed = checkpointed(found.filter("a is not null").join(tried, ["a", "b"], "left_anti"))
         if proposed.isEmpty():
-            return tree
-        most *= 8
-        links = checkpointed(verified(proposed, sets))
-        if links.isEmpty():
+            if found.filter("a is null").isEmpty():
+                return tree
+            most *= GROWTH
             continue
-        tasks = None
-        own = tree.filter("id > component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-        tree = components(links.unionByName(own))
-
-
-def _dealt(barred: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Refuted pairs with each task that holds both."""
-    seats = tasks.select(F.col("task").alias("tl_task"), F.col("id").alias("a")).distinct()
-    other = tasks.select(F.col("task").alias("tl_task"), F.col("id").alias("b")).distinct()
-    return barred.join(seats, "a").join(other, ["tl_task", "b"]).select("tl_task", "a", "b")
+        most *= GROWTH
+        tried = tried.unionByName(proposed)
+        links = checkpointed(verified(proposed, sets))
+        if not links.isEmpty():
+            own = tree.filter("id > component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+            tree, tasks = components(links.unionByName(own)), None
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -458,7 +429,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     out = scratch(spark, "shingles")
     X.with_replies(rows, counted, _candidates(shape), FOUND).write.option("compression", "zstd").parquet(out)
     found = spark.read.schema(FOUND).parquet(out)
-    keys = found.select(F.explode("symbols").alias("key"), "id").distinct()
+    keys = found.select(F.explode("symbols").alias("key"), "id", F.xxhash64("digest").alias("row"))
     sets = found.filter(F.col("data").isNotNull()).select("id", "n", "sketch", "data")
     # Classes that share an id are one node.
     reps = found.filter("n > 0").select(F.col("digest").alias("tl_digest"), F.col("id").alias("rep"))
