@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,9 +13,17 @@ from pyspark.sql import functions as F
 CARD_DIGITS, SECRET_BITS = (13, 19), 4.4
 
 
+@cache
+def _decimals() -> tuple[str, str]:
+    """Decimal digits of all scripts but ASCII, and their values as ASCII digits."""
+    signs = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
+    return "".join(signs), "".join(str(unicodedata.decimal(c)) for c in signs)
+
+
 def digits(s: Column) -> Column:
-    """The digits of a string as numbers, in order."""
-    return F.transform(F.regexp_extract_all(s, F.lit(r"(\d)"), F.lit(1)), lambda d: d.cast("int"))
+    """The decimal digits of a string, of any script, as numbers in order."""
+    plain = F.when(F.length(s) == F.octet_length(s), s).otherwise(F.translate(s, *_decimals()))
+    return F.transform(F.regexp_extract_all(plain, F.lit(r"([0-9])"), F.lit(1)), lambda d: d.cast("int"))
 
 
 def luhn(s: Column) -> Column:

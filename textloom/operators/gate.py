@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,18 +36,29 @@ def gated(path: Column) -> Column:
 def consume(reads: DataFrame, allow: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Reads (``seq, path``) with ``allowed``, and the allowances left (``expiry, path, seq``).
 
-    Expired allowances are dropped.  A read uses up the first live one for its path, the k-th read of a file the k-th; a
-    path with ``/private`` in front matches with and without it.
+    Expired allowances are dropped.  In order of ``seq`` a read uses up the first live one for its path; a read with
+    ``/private`` in front also uses one without it, but not the other way round.  Only one file's reads and allowances meet in a task.
     """
-    name = lambda c: alternative(F.col(c))
-    live = allow.filter(F.col("expiry") >= now).withColumn("tl_name", name("path"))
-    live = live.withColumn("tl_k", F.row_number().over(Window.partitionBy("tl_name").orderBy("seq")))
-    asked = reads.withColumn("tl_name", name("path"))
-    asked = asked.withColumn("tl_k", F.row_number().over(Window.partitionBy("tl_name").orderBy("seq")))
-    key = live.select("tl_name", "tl_k", F.lit(True).alias("allowed"))
-    out = asked.join(key, ["tl_name", "tl_k"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
-    left = live.join(asked.select("tl_name", "tl_k"), ["tl_name", "tl_k"], "left_anti")
-    return out.drop("tl_name", "tl_k"), left.select("expiry", "path", "seq")
+    live = allow.filter(F.col("expiry") >= now)
+    name = lambda df: df.groupBy(F.coalesce(alternative(F.col("path")), F.lit("")))
+    used = name(reads.select("seq", "path")).cogroup(name(live.select("path", F.col("seq").alias("of")))).applyInPandas(_matched, "seq long, of long")
+    by_read = used.select(F.col("seq").alias("tl_seq"))
+    out = reads.join(by_read, reads["seq"] == by_read["tl_seq"], "left").withColumn("allowed", F.col("tl_seq").isNotNull()).drop("tl_seq")
+    left = live.join(used.select(F.col("of").alias("tl_of")), live["seq"] == F.col("tl_of"), "left_anti")
+    return out, left.select("expiry", "path", "seq")
+
+
+def _matched(reads: pd.DataFrame, live: pd.DataFrame) -> pd.DataFrame:
+    """Reads of a file with the allowances that they use up."""
+    rest = list(live.sort_values("of").itertuples(index=False))
+    out = []
+    for r in reads.sort_values("seq").itertuples(index=False):
+        names = {r.path, r.path.removeprefix("/private") if r.path and r.path.startswith("/private/") else r.path}
+        hit = next((a for a in rest if a.path in names), None)
+        if hit is not None:
+            rest.remove(hit)
+            out.append((r.seq, hit.of))
+    return pd.DataFrame(out, columns=["seq", "of"])
 
 
 def decide(reads: DataFrame) -> DataFrame:

@@ -25,9 +25,10 @@ def _edges(df: DataFrame) -> DataFrame:
     return df.withColumns({"tl_lo": F.least("x", F.col("x") + F.col("w")), "tl_hi": F.greatest("x", F.col("x") + F.col("w"))})
 
 
-def pitch(height: Column) -> Column:
-    """The median of positive heights, 1 if there are none (an aggregate)."""
-    return F.coalesce(F.median(F.when((height > 0) & finite(height), height)), F.lit(1.0))
+def pitch(height: Column, over=None) -> Column:
+    """The median of positive heights, 1 if there are none: an aggregate, or over a window."""
+    median = F.median(F.when((height > 0) & finite(height), height))
+    return F.coalesce(median.over(over) if over is not None else median, F.lit(1.0))
 
 
 def cell_width(text: Column, w: Column, measured: Column) -> Column:
@@ -42,53 +43,70 @@ def vote(text: Column, w: Column, measured: Column, variation: Column) -> Column
     return F.when(variation.isNull() | (variation <= VARIATION), cell_width(text, w, measured))
 
 
-def column_groups(lines: DataFrame) -> DataFrame:
-    """Adds ``group``: lines whose spans overlap or are closer than the gap; null for lines without a finite span."""
-    lines = _edges(lines)
-    pitches = lines.groupBy(F.col("doc_id").alias("tl_doc")).agg(pitch(F.col("h")).alias("tl_pitch"))
-    df = lines.join(pitches, lines["doc_id"].eqNullSafe(pitches["tl_doc"])).drop("tl_doc")
+_KEY = ["tl_key", "tl_null"]
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    """Adds a document key without nulls, by which all windows and joins share one partitioning."""
+    kind = df.schema["doc_id"].dataType.simpleString()
+    return df.withColumns({"tl_key": F.coalesce("doc_id", F.lit("0").cast(kind)), "tl_null": F.col("doc_id").isNull()})
+
+
+def _grouped(lines: DataFrame) -> DataFrame:
+    """``lines`` with key, edges and ``group``."""
+    doc = Window.partitionBy(*_KEY)
     placed = finite(F.col("tl_lo")) & finite(F.col("tl_hi"))
-    by_edge = Window.partitionBy("doc_id", "tl_placed").orderBy("tl_lo", "tl_hi", "line_ix")
-    df = df.withColumn("tl_placed", placed)
+    df = _keyed(_edges(lines)).withColumns({"tl_pitch": pitch(F.col("h"), doc), "tl_placed": placed})
+    by_edge = Window.partitionBy(*_KEY, "tl_placed").orderBy("tl_lo", "tl_hi", "line_ix")
     reach = F.max("tl_hi").over(by_edge.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(F.col("tl_lo") - reach < COLUMN_GAP * F.col("tl_pitch"), 0).otherwise(1)
-    df = df.withColumn("tl_new", new)
+    df = df.withColumn("tl_new", F.when(F.col("tl_lo") - reach < COLUMN_GAP * F.col("tl_pitch"), 0).otherwise(1))
     number = F.sum("tl_new").over(by_edge.rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("group", F.when(F.col("tl_placed"), number - 1).cast("long")).drop("tl_new", "tl_placed")
 
 
+def column_groups(lines: DataFrame) -> DataFrame:
+    """Adds ``group``: lines whose spans overlap or are closer than the gap; null for lines without a finite span."""
+    return _grouped(lines).drop(*_KEY)
+
+
+def _assigned(lines: DataFrame) -> DataFrame:
+    """``lines`` with key, edges, ``group`` and ``col_ix``."""
+    df = _grouped(lines)
+    doc, span = Window.partitionBy(*_KEY), Window.partitionBy(*_KEY, "group")
+    df = df.withColumns(
+        {
+            "tl_real": F.col("group").isNotNull() & (F.count(F.lit(1)).over(span) >= COLUMN_LINES),
+            "tl_a": F.min("tl_lo").over(span),
+            "tl_b": F.max("tl_hi").over(span),
+            "tl_first": F.row_number().over(span.orderBy("line_ix")) == 1,
+        }
+    )
+    head = F.col("tl_real") & F.col("tl_first")
+    left = doc.orderBy("group").rangeBetween(Window.unboundedPreceding, -1)
+    df = df.withColumns({"tl_reals": F.count_if(head).over(doc), "tl_ix": F.coalesce(F.count_if(head).over(left), F.lit(0))})
+    # Narrow groups go to the nearest column; only one row a group takes part in the join.
+    real = df.filter(head).select(*_KEY, F.col("tl_ix").alias("to"), F.col("tl_a").alias("a"), F.col("tl_b").alias("b"))
+    small = df.filter("not tl_real and tl_first and group is not null and tl_reals >= 2").select(*_KEY, "group", "tl_a", "tl_b")
+    gap = F.greatest(F.lit(0.0), F.col("a") - F.col("tl_b"), F.col("tl_a") - F.col("b"))
+    near = small.join(real, _KEY).groupBy(*_KEY, "group").agg(F.min(F.struct(gap.alias("gap"), F.col("to"))).alias("best"))
+    df = df.join(near.select(*_KEY, "group", F.col("best.to").alias("tl_to")), [*_KEY, "group"], "left")
+    col = F.when(F.col("tl_reals") < 2, 0).when(F.col("group").isNull(), F.col("tl_reals") - 1)
+    col = col.when(F.col("tl_real"), F.col("tl_ix")).otherwise(F.col("tl_to"))
+    return df.withColumn("col_ix", col.cast("long")).drop("tl_a", "tl_b", "tl_first", "tl_real", "tl_reals", "tl_ix", "tl_to")
+
+
 def assign_columns(lines: DataFrame) -> DataFrame:
     """Adds ``col_ix``, from 0 on the left."""
-    df = column_groups(lines)
-    spans = df.filter(F.col("group").isNotNull()).groupBy("doc_id", "group")
-    spans = spans.agg(F.count(F.lit(1)).alias("n"), F.min("tl_lo").alias("lo"), F.max("tl_hi").alias("hi"))
-    doc = Window.partitionBy("doc_id")
-    spans = spans.withColumn("real", F.col("n") >= COLUMN_LINES).withColumn("reals", F.count_if("real").over(doc))
-    left = doc.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("ix", F.when(F.col("real"), F.coalesce(F.count_if("real").over(left), F.lit(0))))
-    real = spans.filter("real").select(F.col("doc_id").alias("d"), F.col("ix").alias("to"), F.col("lo").alias("a"), F.col("hi").alias("b"))
-    small = spans.filter("not real and reals >= 2")
-    near = small.join(real, small["doc_id"].eqNullSafe(real["d"]))
-    gap = F.greatest(F.lit(0.0), F.col("a") - F.col("hi"), F.col("lo") - F.col("b"))
-    near = near.groupBy("doc_id", "group").agg(F.min(F.struct(gap.alias("gap"), F.col("to"))).alias("best"))
-    placed = spans.select(F.col("doc_id").alias("d"), F.col("group").alias("g"), "ix", "reals")
-    near = near.select(F.col("doc_id").alias("e"), F.col("group").alias("k"), F.col("best.to").alias("to"))
-    df = df.join(placed, df["doc_id"].eqNullSafe(placed["d"]) & (df["group"] == placed["g"]), "left")
-    df = df.join(near, df["doc_id"].eqNullSafe(near["e"]) & (df["group"] == near["k"]), "left")
-    many = F.coalesce(F.max("reals").over(doc), F.lit(0))
-    col = F.when(many < 2, 0).when(F.col("group").isNull(), many - 1).otherwise(F.coalesce("ix", "to"))
-    return df.withColumn("col_ix", col.cast("long")).drop("d", "g", "e", "k", "ix", "to", "reals")
+    return _assigned(lines).drop(*_KEY)
 
 
 def reading_order(lines: DataFrame) -> DataFrame:
     """Adds ``col_ix`` and ``n``: the lines column by column, rows of a column's own pitch, left to right."""
-    df = assign_columns(lines)
-    pitches = df.groupBy(F.col("doc_id").alias("d"), F.col("col_ix").alias("c")).agg(pitch(F.col("h")).alias("tl_row_pitch"))
-    df = df.join(pitches, df["doc_id"].eqNullSafe(pitches["d"]) & (df["col_ix"] == pitches["c"])).drop("d", "c")
+    df = _assigned(lines).withColumn("tl_row_pitch", pitch(F.col("h"), Window.partitionBy(*_KEY, "col_ix")))
     row = F.when(finite(F.col("y")), F.round(F.col("y") / F.col("tl_row_pitch"))).otherwise(float("inf"))
     left = F.when(finite(F.col("tl_lo")), F.col("tl_lo")).otherwise(float("inf"))
-    order = Window.partitionBy("doc_id").orderBy("col_ix", row, left, "y", "line_ix")
-    return df.withColumn("n", F.row_number().over(order).cast("long")).drop("tl_lo", "tl_hi", "tl_pitch", "tl_row_pitch", "group")
+    order = Window.partitionBy(*_KEY).orderBy("col_ix", row, left, "y", "line_ix")
+    return df.withColumn("n", F.row_number().over(order).cast("long")).drop(*_KEY, "tl_lo", "tl_hi", "tl_pitch", "tl_row_pitch", "group")
 
 
 def _middle(ordered: list[float]) -> float:

@@ -17,7 +17,6 @@ from textloom.functions.tokens import SPACE, finite, rstrip
 
 # Pairs a line needs to count, share of missing pairs above which it is missed, characters a layer needs.
 LINE_PAIRS, MISSING_SHARE, LAYER_CHARS = 3, 0.5, 20
-NEWLINES = r"[\n\r\x0B\x0C\x85  ]+"
 
 
 @F.pandas_udf(T.StringType())
@@ -43,35 +42,45 @@ def words(tokens: Column) -> Column:
     return F.transform(good, lambda w: w["l"])
 
 
-def with_words(df: DataFrame, text_col: str, out: str = "words") -> DataFrame:
-    """Adds the words of a text column, each step a column of its own, so that lambdas refer to columns only."""
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def pairs(words_: Column) -> Column:
+    """Pairs of neighbours of an array."""
+    n = F.greatest(F.size(words_) - 1, F.lit(0))
+    return F.zip_with(F.slice(words_, F.lit(1), n), F.slice(words_, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _with_pairs(df: DataFrame, text_col: str) -> DataFrame:
+    """Adds ``tl_pairs``, the pairs of neighbouring words of a text column, in one expression that is evaluated once."""
     df = df.withColumn("tl_low", F.lower(decomposed(F.col(text_col))))
-    df = df.withColumn("tl_tokens", F.filter(F.split("tl_low", rf"{SPACE}+", -1), lambda t: t != ""))
-    return df.withColumn(out, words(F.col("tl_tokens"))).drop("tl_low", "tl_tokens")
+    tokens = F.filter(F.split("tl_low", rf"{SPACE}+", -1), lambda t: t != "")
+    return df.withColumn("tl_pairs", _bind(_bind(tokens, words), pairs)).drop("tl_low")
 
 
-def pairs(word_col: str) -> Column:
-    """Pairs of neighbours of an array column."""
-    n = F.greatest(F.size(word_col) - 1, F.lit(0))
-    return F.zip_with(F.slice(word_col, F.lit(1), n), F.slice(word_col, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+def _exploded(df: DataFrame, keys: list[str], pairs_: Column) -> DataFrame:
+    # An inner explode would make the optimizer copy the whole expression into a filter on its size.
+    return df.select(*keys, F.explode_outer(pairs_).alias("pair")).filter(F.col("pair").isNotNull())
 
 
 def line_pairs(lines: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """``keys, pair`` of each line's pairs, with repeats; lines too short to count are left out."""
-    df = with_words(lines.select(*keys, text_col), text_col).withColumn("tl_pairs", pairs("words"))
-    return df.filter(F.size("tl_pairs") >= LINE_PAIRS).select(*keys, F.explode("tl_pairs").alias("pair"))
+    df = _with_pairs(lines.select(*keys, text_col), text_col)
+    return _exploded(df, keys, _bind(F.col("tl_pairs"), lambda p: F.when(F.size(p) >= LINE_PAIRS, p)))
 
 
 def layer_pairs(pages: DataFrame, keys: list[str], text_col: str = "layer_text") -> DataFrame:
     """``keys, pair``: the distinct pairs of a page's layer; they run across line ends."""
-    df = with_words(pages.select(*keys, text_col), text_col).withColumn("tl_pairs", F.array_distinct(pairs("words")))
-    return df.select(*keys, F.explode("tl_pairs").alias("pair"))
+    return _exploded(_with_pairs(pages.select(*keys, text_col), text_col), keys, F.array_distinct("tl_pairs"))
 
 
 def line_shares(lines: DataFrame, pages: DataFrame, page_keys: list[str], line_keys: list[str]) -> DataFrame:
     """``page_keys, line_keys, n_pairs, n_missing`` of lines that count."""
     read = line_pairs(lines, [*page_keys, *line_keys])
-    known = layer_pairs(pages, page_keys).select(*[F.col(k).alias(f"tl_{k}") for k in page_keys], F.col("pair").alias("tl_pair"))
+    # Layers of pages without lines have nothing to answer for.
+    known = layer_pairs(pages.join(lines.select(*page_keys).distinct(), page_keys, "left_semi"), page_keys).select(*[F.col(k).alias(f"tl_{k}") for k in page_keys], F.col("pair").alias("tl_pair"))
     on = [read[k] == known[f"tl_{k}"] for k in page_keys] + [read["pair"] == known["tl_pair"]]
     joined = read.join(known, on, "left")
     missing = F.count_if(F.col("tl_pair").isNull())

@@ -39,15 +39,15 @@ def kept_screens(read: DataFrame, dedupe: float = DEDUPE) -> DataFrame:
     grouped = rows.groupBy("video_id").agg(F.collect_list(frame).alias("frames"))
     ordered = F.array_sort("frames", lambda a, b: F.when(_key(a) < _key(b), -1).when(_key(a) > _key(b), 1).otherwise(0))
     grouped = grouped.withColumn("frames", ordered)
-    item = grouped.schema["frames"].dataType.simpleString()
-    start = F.struct(F.array().cast("array<string>").alias("last"), F.array().cast(item).alias("kept"))
+    # The fold carries the last kept tokens and a string of one mark a frame, not the frames kept so far.
+    start = F.struct(F.array().cast("array<string>").alias("last"), F.lit("").alias("marks"))
 
     def step(state, f):
         same = jaccard(f["tokens"], state["last"]) >= dedupe
-        return F.when(same, state).otherwise(F.struct(f["tokens"].alias("last"), F.concat(state["kept"], F.array(f)).alias("kept")))
+        return F.struct(F.when(same, state["last"]).otherwise(f["tokens"]).alias("last"), F.concat(state["marks"], F.when(same, "0").otherwise("1")).alias("marks"))
 
-    folded = grouped.select("video_id", F.aggregate("frames", start, step)["kept"].alias("kept"))
-    each = folded.select("video_id", F.explode("kept").alias("k"))
+    marked = grouped.select("video_id", "frames", F.aggregate("frames", start, step)["marks"].alias("marks"))
+    each = marked.select("video_id", "marks", F.posexplode("frames").alias("at", "k")).filter(F.substring("marks", F.col("at") + 1, F.lit(1)) == "1")
     return each.select("video_id", "k.time", stamp(F.col("k.time")).alias("stamp"), "k.text", "k.redactions", F.col("k.frame_ix").alias("frame_ix"))
 
 
@@ -70,7 +70,7 @@ def transcribe(frames: DataFrame, rules: Sequence[Rule] | None = BUILTIN, dedupe
     counts = frames.groupBy("video_id").agg(
         F.count_if(F.col("error").isNull()).alias("frames"), F.count_if(F.col("error").isNotNull()).alias("failed_frames"),
         F.coalesce(F.sum(F.when(F.col("error").isNull(), image_tokens(F.col("width"), F.col("height")))), F.lit(0)).alias("image_tokens"),
-        F.max("error").alias("last"),
+        F.max_by("error", F.when(F.col("error").isNotNull(), F.struct("time", "frame_ix"))).alias("last"),
     )
     kept = kept_screens(screens(frames, rules), dedupe)
     texts = body(kept)

@@ -366,39 +366,14 @@ def lane_choice(spark, sf_dir):
     return pagetext.choose_lanes(layers, lines, ["doc_id"], ["line"]).groupBy("lane").agg(F.count(F.lit(1)).alias("pages"), long(F.sum("misses")).alias("misses"))
 
 
-_PAIRS = r"""tokens AS (SELECT item_id, i, w FROM (SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '\s+', ' ', 'g'), ' '), lambda t: t <> '') AS t FROM benchmark), unnest(t) WITH ORDINALITY u(w, i)),
-plain AS (SELECT item_id, i, regexp_replace(w, '[^a-z]', '', 'g') AS w, len(w) AS n FROM tokens WHERE NOT regexp_matches(w, '[^\x00-\x7F]')),
-good AS (SELECT item_id, w, row_number() OVER (PARTITION BY item_id ORDER BY i) AS k FROM plain WHERE len(w) >= 2 AND len(w) * 2 >= n),
-items AS (SELECT item_id FROM benchmark WHERE NOT regexp_matches(text, '[^\x00-\x7F]')),
-pairs AS (SELECT a.item_id, a.w || ' ' || b.w AS pair FROM good a JOIN good b ON a.item_id = b.item_id AND b.k = a.k + 1 SEMI JOIN items ON items.item_id = a.item_id)"""
-
-
-@query(rf"WITH {_PAIRS} SELECT item_id, count(*) AS n_pairs, count(DISTINCT pair) AS n_distinct FROM pairs GROUP BY item_id HAVING count(*) >= 3")
-def word_pairs(spark, sf_dir):
-    """Pairs of words of plain ASCII items."""
-    plain = read(spark, sf_dir, "benchmark").filter(F.length("text") == F.octet_length("text"))
-    return pagetext.line_pairs(plain, ["item_id"]).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("pair").alias("n_distinct"))
-
-
-@query(rf"""WITH {_PAIRS}, big AS (SELECT item_id FROM pairs GROUP BY item_id HAVING count(*) >= 3)
-SELECT a.item_id, count(DISTINCT pair) AS missing FROM pairs a SEMI JOIN big ON big.item_id = a.item_id WHERE a.item_id % 2 = 0
-  AND NOT EXISTS (SELECT 1 FROM pairs b WHERE b.item_id = a.item_id + 1 AND b.pair = a.pair) GROUP BY a.item_id""")
-def missing_pairs_anti(spark, sf_dir):
-    """Pairs of even items that the following item lacks, by an anti join."""
-    plain = read(spark, sf_dir, "benchmark").filter(F.length("text") == F.octet_length("text"))
-    lines = plain.filter("item_id % 2 = 0")
-    layers = plain.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("layer_text"))
-    return pagetext.missing_pairs(lines, layers, ["item_id"]).groupBy("item_id").agg(F.count(F.lit(1)).alias("missing"))
-
-
 @query()
-def word_pairs_all(spark, sf_dir):
+def word_pairs(spark, sf_dir):
     """Pairs of words of every item, in any script."""
     return pagetext.line_pairs(read(spark, sf_dir, "benchmark"), ["item_id"]).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("pair").alias("n_distinct"))
 
 
 @query()
-def missing_pairs_all(spark, sf_dir):
+def missing_pairs(spark, sf_dir):
     """Pairs of every item that the following item lacks, by an anti join."""
     lines = read(spark, sf_dir, "benchmark")
     layers = lines.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("layer_text"))
@@ -523,15 +498,9 @@ def reading_order(spark, sf_dir):
     return layout.reading_order(boxes(spark, sf_dir)).select("doc_id", "line_ix", "n")
 
 
-@query(f"WITH {_B} SELECT doc_id, median(CASE WHEN w > 40 THEN w END) AS pitch FROM b GROUP BY doc_id HAVING median(CASE WHEN w > 40 THEN w END) IS NOT NULL")
+@query(f"WITH {_B} SELECT doc_id, coalesce(median(CASE WHEN w > 0 THEN w END), 1) AS pitch FROM b GROUP BY doc_id")
 def row_pitch(spark, sf_dir):
-    df = boxes(spark, sf_dir).filter(F.col("w") > 40)
-    return df.groupBy("doc_id").agg(layout.pitch(F.col("w")).alias("pitch"))
-
-
-@query()
-def row_pitch_all(spark, sf_dir):
-    """The median over all boxes of a document."""
+    """The median of a document's boxes; widths stand for heights, which are all equal here."""
     return boxes(spark, sf_dir).groupBy("doc_id").agg(layout.pitch(F.col("w")).alias("pitch"))
 
 

@@ -20,7 +20,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def read_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``file, text, error`` of whole text files, one trailing newline taken off; what isn't there is an error row."""
-    there = [p for p in paths if exists(spark, p)]
+    there = [p for p in dict.fromkeys(paths) if exists(spark, p)]
     asked = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "place long, file string")
     if not there:
         return asked.select("file", F.lit(None).cast("string").alias("text"), F.lit("cannot read").alias("error"))

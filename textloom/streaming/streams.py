@@ -44,17 +44,27 @@ def _similar(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a and b else 0.0
 
 
-KEPT = T.StructType([T.StructField("video_id", T.LongType()), T.StructField("time", T.DoubleType()), T.StructField("frame_ix", T.LongType()), T.StructField("text", T.StringType())])
+KEPT = T.StructType([T.StructField("time", T.DoubleType()), T.StructField("frame_ix", T.LongType()), T.StructField("text", T.StringType())])
 STATE = T.StructType([T.StructField("last", T.StringType()), T.StructField("frames", T.LongType())])
 
 
-def kept_screens(frames: DataFrame, dedupe: float = DEDUPE, rules=None) -> DataFrame:
+def _timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+
+
+def kept_screens(frames: DataFrame, dedupe: float = DEDUPE, rules=None, idle_ms: int | None = None) -> DataFrame:
     """``video_id, time, frame_ix, text`` of kept screens; frames come in order of time from batch to batch.
 
+    A continuous query gives up a video's state after ``idle_ms`` without frames (with a trigger that ends, such a timeout never does).
     Within a batch they are sorted; the state is the last kept screen's tokens and the number of frames seen.
     """
 
     def step(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         rows = pd.concat(list(parts)).sort_values(["time", "frame_ix"])
         last, seen = state.get if state.exists else ("", 0)
         kept, tokens = [], set(last.split())
@@ -64,20 +74,29 @@ def kept_screens(frames: DataFrame, dedupe: float = DEDUPE, rules=None) -> DataF
                 kept.append((key[0], r.time, r.frame_ix, r.screen))
                 tokens = mine
         state.update((" ".join(sorted(tokens)), seen + len(rows)))
-        yield pd.DataFrame(kept, columns=KEPT.fieldNames())
+        yield pd.DataFrame(kept, columns=schema.fieldNames())
 
     read = screens(frames, rules).select("video_id", "time", "frame_ix", "screen")
-    return read.groupBy("video_id").applyInPandasWithState(step, KEPT, STATE, "append", GroupStateTimeout.NoTimeout)
+    schema = T.StructType([T.StructField("video_id", frames.schema["video_id"].dataType), *KEPT.fields])
+    return read.groupBy("video_id").applyInPandasWithState(step, schema, STATE, "append", _timeout(idle_ms))
 
 
 ANSWER = T.StructType([T.StructField("path", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("allowed", T.BooleanType())])
 ALLOWED = T.StructType([T.StructField("expiries", T.ArrayType(T.LongType()))])
 
 
-def gate_stream(events: DataFrame) -> DataFrame:
-    """Answers to reads in a stream of ``path, kind ('allow' or 'read'), at, expiry, seq``: an allowance serves one read, until it expires."""
+def gate_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Answers to reads in a stream of ``path, kind ('allow' or 'read'), at, expiry, seq``: an allowance serves one read, until it expires.
+
+    A continuous query gives up a path's state after ``idle_ms`` without events.
+    """
 
     def step(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         live = list(state.get[0]) if state.exists else []
         out = []
         for r in pd.concat(list(parts)).sort_values("seq").itertuples():
@@ -90,7 +109,7 @@ def gate_stream(events: DataFrame) -> DataFrame:
         state.update((live,))
         yield pd.DataFrame(out, columns=ANSWER.fieldNames())
 
-    return events.groupBy("path").applyInPandasWithState(step, ANSWER, ALLOWED, "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("path").applyInPandasWithState(step, ANSWER, ALLOWED, "append", _timeout(idle_ms))
 
 
 def hints_once(reads: DataFrame, late: str = "1 hour") -> DataFrame:
