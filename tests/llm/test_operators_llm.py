@@ -181,6 +181,16 @@ def test_jaccard_join_of_repeated_and_null_ids(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+@given(st.lists(st.text("ab \u00e9\u4e2d.", max_size=30), max_size=6))
+@settings(max_examples=30, deadline=None)
+def test_trigrams_of_rows_don_t_depend_on_cuts(rows):
+    """Counts of the rows one by one and in one buffer with tiny pieces are the same."""
+    count = lambda raw, size: sum(toxicity.trigrams(p) for p in toxicity.pieces(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]), size))
+    raw = [r.encode() for r in rows]
+    whole, cut = count(raw, 1 << 20), count(raw, 3)
+    assert (whole == cut).all()
+
+
 def test_jaccard_join_follows_a_chain(spark):
     """Neighbours link, all others don't: each text moves on by a seventh of its words."""
     words = [f"w{i}" for i in range(40 + 5 * 400)]

@@ -10,6 +10,9 @@ Template: ``<|turn|>`` role ``<|text|>`` body ``<|end|>``.  Inside roles and tex
 backslash and after the first character of each control string (``<|``, ``<s>``, ``</s>``, ``[INST]``, ``[/INST]``),
 so no control string is left; ``unescape`` takes exactly those backslashes out again.
 
+A conversation's turns meet in one task when they are numbered and when they are digested: its texts must fit there, and in one value
+of 2 GB.  No text is joined to a longer value before that.
+
 Edge cases: null role or text is empty; turns with equal numbers are ordered by role and text; a null conversation id
 is a conversation; an empty table gives an empty result; further columns are ignored.
 """
@@ -100,7 +103,8 @@ def format_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
         {"tl_body": body(F.col("tl_parts")), "tl_head": F.concat(F.lit(TURN), escape(F.col("tl_role")), F.lit(TEXT)), "attachments": attachments(F.col("tl_parts"))}
     )
     flat = flat.withColumn("segment", F.concat("tl_head", "tl_body", F.lit(END)))
-    order = Window.partitionBy("conv_id").orderBy("tl_turn", "tl_role", "tl_body")
+    plain = F.array_join(F.transform("tl_parts", lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    order = Window.partitionBy("conv_id").orderBy("tl_turn", "tl_role", plain, "tl_body")
     start = F.coalesce(F.sum(F.length("segment").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     mine = F.col("tl_role") == "assistant"
     return flat.withColumns({"turn_ix": F.row_number().over(order).cast("long"), "start": start}).select(

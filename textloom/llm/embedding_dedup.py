@@ -5,12 +5,14 @@ product.  Tiles are made by median splits along the leading dimensions.  A pair
 reach the threshold is never formed; inside a pair, products are accumulated over leading blocks of dimensions, the rest
 is bounded by the product of the suffix norms (Cauchy-Schwarz), and a block stops when no pair can reach the threshold.
 Pairs that remain are decided on the input vectors in double precision, so turning and splitting never change results.
+Vectors that fill all directions alike leave no pair of tiles out: then all pairs of tiles are formed and the first product, of a few
+dimensions, settles nearly all pairs of vectors.  The work is quadratic there, with a small factor (see README).
 
 Equal vectors are one class, compared once and counted with their number, so a vector that a third of all rows hold
 costs one row.  Links leave a task as counts and as trees of components, never as pairs.
 
 What is fitted on a sample: the median splits alone, on about ``SAMPLE`` rows (a bound on the driver's work; it affects
-speed, not results).  The number of tiles is at most ``MAX_TILES``.
+speed, not results).  Tiles have about ``TILE_ROWS`` vectors however many there are; the driver holds a box for each of them.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components link with nothing, nor do rows with a null
 id; a shorter vector counts as zeros behind; repeated ids are separate rows; an empty table gives an empty result.
@@ -27,10 +29,10 @@ from textloom.llm.components import components, local_labels
 from textloom.session import checkpointed
 
 THRESHOLD = 0.95
-TILE_ROWS, MAX_TILES, SUB_ROWS = 4096, 1024, 512
-LEADING = (4, 8, 16, 32)
+TILE_ROWS, SUB_ROWS = 16_384, 512
+LEADING = (4, 8, 16, 32, 64, 128, 256)
 SAMPLE = 20_000
-SLACK = 1e-9
+SLACK = 1e-4
 
 
 def _matrix(column, dims: int) -> np.ndarray:
@@ -120,32 +122,38 @@ def box_bound(low_a, high_a, low_b, high_b) -> np.ndarray:
     return ends.max(axis=0).sum(axis=-1)
 
 
-def linked_pairs(a: np.ndarray, b: np.ndarray, ua: np.ndarray, ub: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows with cosine at or above ``threshold``; ``a, b`` are turned unit rows, ``ua, ub`` unturned ones."""
-    dims = a.shape[1]
-    stops = [d for d in LEADING if d < dims] + [dims]
+def stops_of(moments: np.ndarray) -> list[int]:
+    """Where the accumulation over dimensions looks whether any pair can still reach the threshold; ``moments`` are sorted, largest first.
+
+    The first stop has a quarter of the vectors' squared length: with less, hardly a pair of unlike vectors is settled.
+    """
+    share = np.cumsum(moments) / max(float(moments.sum()), 1e-300)
+    return [d for d in LEADING if d < len(moments) and share[d - 1] >= 0.25] + [len(moments)]
+
+
+def linked_pairs(a: np.ndarray, b: np.ndarray, ua: np.ndarray, ub: np.ndarray, threshold: float, same: bool, stops: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows with cosine at or above ``threshold``; ``a, b`` are turned unit rows, ``ua, ub`` unturned ones.
+
+    Bounds are computed in single precision with a margin (``SLACK``) far above its error; what remains is decided in doubles.
+    """
     out_a, out_b = [], []
-    tail = lambda x, d: np.sqrt(np.maximum(0.0, (x[:, d:] ** 2).sum(axis=1)))
-    tails_a, tails_b = [tail(a, d) for d in stops], [tail(b, d) for d in stops]
+    tail = lambda x, d: np.sqrt(np.maximum(0.0, (x[:, d:] ** 2).sum(axis=1))).astype(np.float32)
+    # The suffix norm is one more dimension of the first product, which so is the bound itself.
+    first = lambda x: np.concatenate([x[:, : stops[0]].astype(np.float32), tail(x, stops[0])[:, None]], axis=1)
+    fa, fb = first(a), first(b)
+    boxes = lambda x: [(x[i : i + SUB_ROWS].min(axis=0), x[i : i + SUB_ROWS].max(axis=0)) for i in range(0, len(x), SUB_ROWS)]
+    boxes_a, boxes_b = boxes(a), boxes(b)
     for i in range(0, len(a), SUB_ROWS):
-        pa_, box_a = a[i : i + SUB_ROWS], None
         for j in range(i if same else 0, len(b), SUB_ROWS):
-            pb = b[j : j + SUB_ROWS]
-            if box_a is None:
-                box_a = pa_.min(axis=0), pa_.max(axis=0)
-            if box_bound(*box_a, pb.min(axis=0), pb.max(axis=0)) < threshold - SLACK:
+            if box_bound(*boxes_a[i // SUB_ROWS], *boxes_b[j // SUB_ROWS]) < threshold - SLACK:
                 continue
-            dots, at, rows = None, 0, None
-            for k, d in enumerate(stops):
-                part = pa_[:, at:d] @ pb[:, at:d].T
-                dots = part if dots is None else dots + part
-                at = d
-                can = dots + np.outer(tails_a[k][i : i + SUB_ROWS], tails_b[k][j : j + SUB_ROWS]) >= threshold - SLACK
-                n = int(can.sum())
-                if n == 0 or n * 16 < can.size:  # none or few left: those are settled one by one
-                    rows = np.nonzero(can)
+            can = fa[i : i + SUB_ROWS] @ fb[j : j + SUB_ROWS].T >= threshold - SLACK
+            rows = np.nonzero(can)
+            for at, d in zip(stops[:-1], stops[1:]):
+                if len(rows[0]) * 16 < can.size:  # few are left: those are settled one by one
                     break
-            if rows is None:
+                pa_, pb = a[i : i + SUB_ROWS], b[j : j + SUB_ROWS]
+                can = pa_[:, :d] @ pb[:, :d].T + np.outer(tail(pa_, d), tail(pb, d)) >= threshold - SLACK
                 rows = np.nonzero(can)
             x, y = rows[0] + i, rows[1] + j
             if same:
@@ -159,7 +167,33 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, ua: np.ndarray, ub: np.ndarray, t
     return np.concatenate([empty, *out_a]), np.concatenate([empty, *out_b])
 
 
-def _compare(dims: int, basis: np.ndarray, threshold: float):
+def _pairs_of(low: np.ndarray, high: np.ndarray, threshold: float):
+    """The pairs that a tile forms with itself and later ones, one row a side."""
+    used = np.flatnonzero(~np.isnan(low[:, 0]))
+
+    def plan(batches):
+        for batch in batches:
+            for t in batch["id"].to_pylist():
+                rest = used[used >= t]
+                if not len(rest) or rest[0] != t:
+                    continue
+                reach = box_bound(low[t], high[t], low[rest], high[rest]) >= threshold - SLACK
+                reach[0] = True
+                other = rest[reach]
+                pair = t * len(low) + other
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([np.full(len(other), t), other[1:]]), pa.int32()),
+                        pa.array(np.concatenate([np.zeros(len(other)), np.ones(len(other) - 1)]).astype(np.int32)),
+                        pa.array(np.concatenate([pair, pair[1:]]), pa.int64()),
+                    ],
+                    names=["tl_tile", "side", "pair"],
+                )
+
+    return plan
+
+
+def _compare(dims: int, basis: np.ndarray, threshold: float, stops: list[int]):
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("side", "ascending"), ("id", "ascending")])
         ids, n, side = table["id"].to_numpy(), table["n"].to_numpy(), table["side"].to_numpy()
@@ -169,7 +203,7 @@ def _compare(dims: int, basis: np.ndarray, threshold: float):
         same = cut == len(side)
         order_a = np.lexsort(turned[:cut, :3].T[::-1])
         order_b = order_a if same else cut + np.lexsort(turned[cut:, :3].T[::-1])
-        x, y = linked_pairs(turned[order_a], turned[order_b], unit[order_a], unit[order_b], threshold, same)
+        x, y = linked_pairs(turned[order_a], turned[order_b], unit[order_a], unit[order_b], threshold, same, stops)
         x, y = order_a[x], order_b[y]
         links = np.bincount(x, n[y], len(ids)) + np.bincount(y, n[x], len(ids))
         rows = np.flatnonzero(links)
@@ -214,8 +248,9 @@ def _links(spark, classes: DataFrame, many: int, dims: int, threshold: float) ->
     moments = np.zeros(dims * dims)
     for cell, value in cells.collect():  # dims * dims numbers
         moments[cell] = value
-    basis = np.ascontiguousarray(np.linalg.eigh(moments.reshape(dims, dims))[1][:, ::-1])
-    depth = max(0, min(MAX_TILES, -(-many // TILE_ROWS)) - 1).bit_length()
+    spread, turn = np.linalg.eigh(moments.reshape(dims, dims))
+    basis, stops = np.ascontiguousarray(turn[:, ::-1]), stops_of(np.maximum(spread[::-1], 0))
+    depth = max(0, -(-many // TILE_ROWS) - 1).bit_length()
     sample = classes.select("id", "v").sample(min(1.0, SAMPLE / many), seed=1).limit(2 * SAMPLE).toArrow() if depth else None
     points = _unit(_matrix(sample["v"], dims)) @ basis if sample is not None and sample.num_rows else np.zeros((0, dims))
     tree = splits(points[:, :8], depth)
@@ -223,19 +258,11 @@ def _links(spark, classes: DataFrame, many: int, dims: int, threshold: float) ->
     boxes = placed.mapInArrow(_boxes(dims, basis), "tile int, dim int, low double, high double")
     boxes = boxes.groupBy("tile", "dim").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     low, high = np.full((2, 1 << depth, dims), np.nan)
-    for t, d, lo, hi in boxes.collect():  # at most MAX_TILES boxes
+    for t, d, lo, hi in boxes.collect():  # a box for TILE_ROWS vectors
         low[t, d], high[t, d] = lo, hi
-    used = [t for t in range(1 << depth) if not np.isnan(low[t, 0])]
-    pairs = []
-    for i, t in enumerate(used):
-        rest = np.array(used[i:])
-        reach = box_bound(low[t], high[t], low[rest], high[rest]) >= threshold - SLACK
-        reach[0] = True
-        pairs += [(t, int(u)) for u in rest[reach]]
-    sides = [(a, 0, a * len(low) + b) for a, b in pairs] + [(b, 1, a * len(low) + b) for a, b in pairs if a != b]
-    plan = spark.createDataFrame(sides, "tl_tile int, side int, pair long")
+    plan = spark.range(0, 1 << depth, 1, max(1, (1 << depth) // 64)).mapInArrow(_pairs_of(low, high, threshold), "tl_tile int, side int, pair long")
     dealt = placed.join(plan, placed["tile"] == plan["tl_tile"]).select("pair", "side", "id", "n", "v")
-    found = checkpointed(dealt.groupBy("pair").applyInArrow(_compare(dims, basis, threshold), "id long, links long, label long"))
+    found = checkpointed(dealt.groupBy("pair").applyInArrow(_compare(dims, basis, threshold, stops), "id long, links long, label long"))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     comps = components(found.filter("id > label").select(F.col("id").alias("a"), F.col("label").alias("b")))
     comps = comps.withColumnRenamed("id", "tl_of")

@@ -8,8 +8,8 @@
 3. A document's features are the letter runs of its text and of what was restored: whole runs, and their first 4 to 8 bytes.
    Features that labelled training rows associate with toxicity make a lexicon; an L1 logistic regression weighs them.
 
-Fitted on a bounded sample: at most ``SAMPLE_ROWS`` labelled training rows (the smallest hashes of their ids) and
-``LEXICON`` features.  Everything else covers every row and whole texts.  Held-out rows (crc32 of the id modulo
+Fitted on a bounded sample: at most ``SAMPLE_ROWS`` labelled training rows (the smallest hashes of their ids); the lexicon
+holds all features of these rows that are associated strongly enough.  Everything else covers every row and whole texts.  Held-out rows (crc32 of the id modulo
 ``FOLDS`` is 0) are never trained on; labels, language, source and id are no inputs of a score.
 
 Bounds of the deobfuscation: a chain's fragments have at most ``FRAGMENT`` characters each, so a word cut into longer ones
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.hashing import U, byte_prefix, mix, release, text_buffer, window
 
-FOLDS, SAMPLE_ROWS, LEXICON = 5, 20_000, 4_000
+FOLDS, SAMPLE_ROWS = 5, 20_000
 MIN_DOCS, MIN_Z = 4, 3.5
 L1, STEPS = 2e-4, 400
 #: Share of the log prior odds in the bias: 1 is calibrated, 0 counts a missed toxic document as dear as all clean ones lost.
@@ -100,12 +100,32 @@ def trigrams(buf: np.ndarray) -> np.ndarray:
     return np.bincount((code[:-2] * CLASSES + code[1:-1]) * CLASSES + code[2:], minlength=CLASSES**3)
 
 
+def pieces(buf: np.ndarray, offs: np.ndarray, size: int = SEGMENT_BYTES):
+    """The rows' bytes, two blanks before each and behind the last, in pieces that end behind a blank and the character after it.
+
+    The next piece begins with that blank, so each trigram is in one piece, and none has letters of two rows.
+    """
+    buf = np.insert(buf, np.repeat(offs, 2), 32)
+    blanks = np.flatnonzero(buf == 32)
+    a = 0
+    while len(buf) - a > size:
+        k = int(np.searchsorted(blanks, a + size))
+        if k >= len(blanks) - 1:
+            break
+        at = int(blanks[k])
+        end = at + 2
+        while end < len(buf) and buf[end] & 0xC0 == 0x80:
+            end += 1
+        yield buf[a:end]
+        a = at
+    yield buf[a:]
+
+
 def _count(batches):
     total = np.zeros(CLASSES**3, dtype=np.int64)
     for batch in batches:
-        buf, offs = text_buffer(batch["text"])
-        for a in range(0, len(buf), SEGMENT_BYTES):
-            total += trigrams(buf[a : a + SEGMENT_BYTES + 2])
+        for piece in pieces(*text_buffer(batch["text"])):
+            total += trigrams(piece)
     cells = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], names=["cell", "n"])
 
@@ -449,7 +469,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     totals = chosen.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
     odds = lambda a, n: F.log((F.col(a) + 0.5) / (n - F.col(a) + 0.5))
     z = (odds("toxic", float(totals[1] + 1)) - odds("clean", float(totals[0] + 1))) / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    strong = found.filter(F.col("toxic") >= MIN_DOCS).withColumn("z", z).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(LEXICON)
+    strong = found.filter(F.col("toxic") >= MIN_DOCS).withColumn("z", z).filter(F.col("z") >= MIN_Z)
     lexicon = np.sort(np.array([r["feature"] for r in strong.select("feature").collect()], dtype=np.int64).view(U))
     rows = sorted(sample.mapInArrow(_examples(costs, lexicon), f"id {texts.schema['id'].dataType.simpleString()}, toxic int, on array<int>").collect())
     weights, bias = fit([r["on"] for r in rows], np.array([r["toxic"] for r in rows], dtype=float), len(lexicon))
