@@ -33,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in passages that occur twice go; a document that loses none keeps its text as it is, in words."""
+    """Words in passages that occur twice go; a document that loses none keeps its text unchanged, white space included."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     cut = substring_dedup.remove_repeats(docs, keep_text=True, carry=others or None)
     fields = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")} | {c: F.col(f"tl_carry.`{c}`") for c in others}
