@@ -142,7 +142,7 @@ def log_model(counts: np.ndarray) -> np.ndarray:
 class Decoder:
     """Viterbi decoding of obfuscated tokens; decoded tokens are kept for the worker's further batches."""
 
-    KEPT, PIECE = 8_000_000, 1024
+    KEPT, PIECE = 1_000_000, 1024
 
     def __init__(self, costs: np.ndarray) -> None:
         self.costs = costs.ravel().tolist()
@@ -373,6 +373,8 @@ def _associations(costs: np.ndarray):
             h, n = held[0]
             on = n.sum(axis=1) > 0
             yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), pa.array(n[on, 0]), pa.array(n[on, 1])], names=["feature", "clean", "toxic"])
+            del h, n, on
+        del decoder, held
         release()
 
     return count
@@ -388,6 +390,8 @@ def _examples(costs: np.ndarray, lexicon: np.ndarray):
                 for i, p in zip(r.tolist(), look.places(h).tolist(), strict=True):
                     lists[i].append(p)
             yield pa.RecordBatch.from_arrays([batch["id"], batch["toxic"], pa.array(lists, pa.list_(pa.int32()))], names=["id", "toxic", "on"])
+        del decoder, look
+        release()
 
     return rows
 
@@ -426,6 +430,8 @@ def _scores(costs: np.ndarray, lexicon: np.ndarray, weights: np.ndarray, bias: f
                 np.add.at(z, r, weights[look.places(h)])
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in batch.schema.names if c != "text"), pa.array(p)], names=[*(c for c in batch.schema.names if c != "text"), "score"])
+        del decoder, look
+        release()
 
     return score
 
@@ -438,6 +444,7 @@ def _reject(costs: np.ndarray, lexicon: np.ndarray, weights: np.ndarray, bias: f
             for _, _, r, h in features(batch[text_col], decoder, look):
                 np.add.at(z, r, weights[look.places(h)])
             yield batch.filter(pa.array(z < 0))
+        del decoder, look
         release()
 
     return clean
