@@ -201,3 +201,30 @@ def test_options(spark, tmp_path):
     rows = api.text_tool(spark, api.Options("text", [str(p), str(tmp_path / "none")])).collect()
     assert rows[0]["text"] == "mail [EMAIL]\n" and rows[1]["error"] == "cannot read"
     assert api.text_tool(spark, api.Options("text", [str(p)], redact=False)).first()["text"] == "mail a@b.org\n"
+
+
+def test_digits_of_other_scripts_count(spark):
+    card = "5500 0000 0000 0004".translate({ord(str(i)): chr(0x660 + i) for i in range(10)})
+    row = redact(spark.createDataFrame([(f"card {card} here",)], "text string")).first()
+    assert row["redacted"] == "card [CARD] here"
+
+
+def test_allowances_match_paths_one_way(spark):
+    asked = spark.createDataFrame([(1, "/tmp/a"), (2, "/private/tmp/a"), (3, "/private/tmp/a"), (4, "/private/tmp/a")], "seq long, path string")
+    allow = spark.createDataFrame([(500, "/private/tmp/a", 7), (500, "/tmp/a", 8), (500, "/tmp/a", 9)], "expiry long, path string, seq long")
+    out, left = gate.consume(asked, allow, F.lit(100))
+    assert {r["seq"]: r["allowed"] for r in out.collect()} == {1: True, 2: True, 3: True, 4: False} and left.count() == 0
+    out, left = gate.consume(asked.filter("seq = 1"), allow.filter("seq = 7"), F.lit(100))
+    assert [r["allowed"] for r in out.collect()] == [False] and left.count() == 1
+
+
+def test_the_last_error_is_the_latest(spark):
+    rows = [(1, 0, 0.0, 10, 10, None, "zebra"), (1, 1, 1.0, 10, 10, None, "apple")]
+    frames = spark.createDataFrame(rows, "video_id long, frame_ix long, time double, width int, height int, text string, error string")
+    assert transcript.transcribe(frames).first()["error"].endswith("last error: apple")
+
+
+def test_a_path_asked_twice_is_read_twice(spark, tmp_path):
+    p = tmp_path / "a.txt"
+    p.write_text("x\n")
+    assert [r["text"] for r in files.read_texts(spark, [str(p), str(p)]).collect()] == ["x", "x"]

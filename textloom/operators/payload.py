@@ -41,7 +41,9 @@ def envelope(results: DataFrame, order: str | None = None) -> DataFrame:
     fields = sorted(c for c in results.columns if c != order)
     item = F.struct(*([F.col(order).alias("tl_order")] if order else []), F.struct(*fields).alias("r"))
     token = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) if c in fields else F.lit(0).cast("long").alias(c)
-    all_rows = F.array_sort(F.collect_list(item)) if order else F.collect_list(item)
+    place = lambda r: r["tl_order"]  # noqa: E731  maps in results have no order
+    before = lambda x, y: F.when(place(x) < place(y), -1).when(place(x) > place(y), 1).otherwise(0)
+    all_rows = F.array_sort(F.collect_list(item), before) if order else F.collect_list(item)
     one = results.agg(token("image_tokens"), F.transform(all_rows, lambda i: i["r"]).alias("results"), token("text_tokens"))
     return one.select(F.to_json(F.struct("image_tokens", "results", "text_tokens", F.lit(VERSION).alias("version")), {"pretty": "true"}).alias("payload"))
 

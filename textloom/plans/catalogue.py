@@ -16,6 +16,8 @@ from textloom.functions import validators as V
 from textloom.operators import frames, gate, geometry, layout, ledger, pagetext, payload, transcript
 from textloom.operators.redact import merge_counts, redact, total
 from textloom.operators.rules import BUILTIN, Rule, with_custom
+from textloom.plans import runs
+from textloom.plans.api import Options
 from textloom.session import scratch, ship
 from textloom.sources import files
 from textloom.streaming import streams
@@ -544,6 +546,14 @@ def fence_text(spark, sf_dir):
     return layout.fenced_text(df)
 
 
+@query()
+def image_run(spark, sf_dir):
+    """A whole run over every box: laid out, redacted, counted, without a ledger."""
+    lines = boxes(spark, sf_dir)
+    images = lines.groupBy(F.col("doc_id").alias("file")).agg(long(F.min("line_ix")).alias("place"), F.lit(1024).alias("width"), F.lit(512).alias("height"), F.lit(None).cast("string").alias("error"))
+    return runs.image_run(spark, images, lines, Options(no_ledger=True)).select("file", "text", "image_tokens", "text_tokens")
+
+
 # --- Frames --------------------------------------------------------------------------------------------------------
 
 _V = "v AS (SELECT user_id % 50 AS video_id, event_id AS frame_ix, (event_id % 1000) * 0.1::DOUBLE AS time, value / 100 AS score FROM events)"
