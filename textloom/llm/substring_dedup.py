@@ -25,11 +25,10 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm import exchange as X
-from textloom.llm.hashing import U, Words, windows
+from textloom.llm.hashing import Words, windows
 
 WINDOW = 35
 #: The perfect difference set of order 4, and its period.
