@@ -14,12 +14,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from textloom.llm.hashing import _SPACE, U, byte_prefix, mix, text_buffer, window
+from textloom.llm.hashing import _SPACE, U, byte_prefix, mix, release, text_buffer, window
 
 SLICE_BYTES = 4 << 20
-STORE_CHUNKS = 2_000_000
-BATCH_BYTES = 4 << 20
-JOINED = 2000
+STORE_CHUNKS = 1_300_000
+BATCH_BYTES, KEPT_BATCHES = 4 << 20, 4
+JOINED, GROUP = 2000, 32_000
 HASH_BYTES = 1 << 18
 
 _SAFE = np.zeros(256, dtype=bool)
@@ -46,7 +46,14 @@ def chunk_starts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def sliced(batches, column: str):
-    """Batches of a bounded number of bytes of text."""
+    """Batches of a bounded number of bytes of text; freed memory goes back to the system now and then."""
+    for n, batch in enumerate(_cut(batches, column), 1):
+        yield batch
+        if n % KEPT_BATCHES == 0:
+            release()
+
+
+def _cut(batches, column: str):
     for batch in batches:
         a = size = 0
         lengths = pc.binary_length(batch[column]).fill_null(0).to_pylist()
@@ -107,15 +114,20 @@ class ChunkEncoder:
         self.ids = np.zeros(0, dtype=np.uint32)
         self.offs = np.zeros(1, dtype=np.int64)
 
-    def _encode_new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_new(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and sizes of distinct chunks, encoded in groups, as the library's own results are large."""
+        groups = [self._encode_group([c.decode("utf-8", "replace") for c in values[i : i + GROUP].to_pylist()]) for i in range(0, len(values), GROUP)]
+        return np.concatenate([g[0] for g in groups]), np.concatenate([g[1] for g in groups])
+
+    def _encode_group(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         odd = [i for i, c in enumerate(chunks) if self.mark in c]
         plain = [c if self.mark not in c else "" for c in chunks]
-        texts = [self.mark.join(plain[i : i + JOINED]) for i in range(0, len(plain), JOINED)]
+        lists = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
         parts, sizes = [], []
-        for enc, n in zip(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), [len(plain[i : i + JOINED]) for i in range(0, len(plain), JOINED)], strict=True):
+        for enc, one in zip(self.tokenizer.encode_batch_fast([self.mark.join(x) for x in lists], add_special_tokens=False), lists, strict=True):
             ids = np.array(enc.ids, dtype=np.uint32)
             cut = np.flatnonzero(ids == self.mark_id)
-            if len(cut) != n - 1:
+            if len(cut) != len(one) - 1:
                 raise ValueError("a chunk's ids hold the joining token")
             sizes.append(np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
             parts.append(np.delete(ids, cut))
@@ -146,8 +158,7 @@ class ChunkEncoder:
         found[hit] = self.place[near[hit]]
         new = np.flatnonzero(~hit)
         if len(new):
-            chunks = [c.decode("utf-8", "replace") for c in values.take(pa.array(new)).to_pylist()]
-            ids, sizes = self._encode_new(chunks)
+            ids, sizes = self._encode_new(values.take(pa.array(new)))
             base = len(self.offs) - 1
             found[new] = base + np.arange(len(new))
             self.ids = np.concatenate([self.ids, ids])
