@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,8 +43,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to executors that don't have it on their path (once a session)."""
+    """Send this package to executors that don't have it on their path, and set the size of Arrow batches (once a session).
+
+    Batches are cut by bytes as well as by rows: 10,000 long texts at once would be held several times, in the JVM and in Python.
+    A size that the application was started with stays.
+    """
     sc = spark.sparkContext
+    if sc.getConf().get(ARROW_BYTES) is None:
+        spark.conf.set(ARROW_BYTES, "4m")
     if getattr(sc, "_textloom_shipped", False):
         return
     root = Path(__file__).resolve().parent
