@@ -26,6 +26,8 @@ from textloom.llm.tokens import ChunkEncoder, sliced, with_end
 
 CAPACITY, END = 2048, 0
 SHARD_DOCS = 16_384
+#: The encoder's store and slices: smaller than the default, as packing runs beside full heaps at the end of a pipeline.
+STORE_CHUNKS, SLICE_BYTES = 600_000, 2 << 20
 PIECES = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -38,7 +40,7 @@ def cut_pieces(length: int, capacity: int) -> list[tuple[int, int]]:
 
 def to_pieces(path: str, capacity: int, end: int):
     def tokenise(batches):
-        encoder = ChunkEncoder.of(path)
+        encoder = ChunkEncoder.of(path, STORE_CHUNKS, SLICE_BYTES)
         for batch in sliced(batches, "text"):
             ids, offs = with_end(*encoder.encode(batch["text"]), end)
             ids = ids.astype("<u4", copy=False)

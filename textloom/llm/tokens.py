@@ -92,13 +92,16 @@ class ChunkEncoder:
     _held: dict[str, ChunkEncoder] = {}
 
     @classmethod
-    def of(cls, path: str) -> ChunkEncoder:
-        """The worker's encoder for a vocabulary file."""
+    def of(cls, path: str, store_chunks: int = STORE_CHUNKS, slice_bytes: int = SLICE_BYTES) -> ChunkEncoder:
+        """The worker's encoder for a vocabulary file; a smaller store and smaller slices need less memory and more time."""
         if path not in cls._held:
             cls._held[path] = cls(path)
-        return cls._held[path]
+        held = cls._held[path]
+        held.store_chunks, held.slice_bytes = store_chunks, slice_bytes
+        return held
 
     def __init__(self, path: str) -> None:
+        self.store_chunks, self.slice_bytes = STORE_CHUNKS, SLICE_BYTES
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -147,7 +150,7 @@ class ChunkEncoder:
         buf = np.frombuffer(data, np.uint8)
         size = mix(np.diff(offs).astype(U))
         a, b = (mix(chunk_hashes(buf, offs, lane) + size) for lane in (0, 1))
-        if self.keys.shape[1] + len(values) > STORE_CHUNKS:
+        if self.keys.shape[1] + len(values) > self.store_chunks:
             self._clear()
         order = np.argsort(a)  # sorted needles are found several times faster
         at = np.empty(len(a), dtype=np.int64)
@@ -175,7 +178,7 @@ class ChunkEncoder:
         parts, sizes = [], []
         row = 0
         while row < len(offs) - 1:
-            to = max(row + 1, int(np.searchsorted(offs, offs[row] + SLICE_BYTES, "right")) - 1)
+            to = max(row + 1, int(np.searchsorted(offs, offs[row] + self.slice_bytes, "right")) - 1)
             part, rows = buf[offs[row] : offs[to]], offs[row : to + 1] - offs[row]
             row = to
             if not len(part):
