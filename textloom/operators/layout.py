@@ -1,14 +1,17 @@
 """Layout of recognised lines: columns, reading order, fixed-width runs, indentation and fences.
 
 A line is ``doc_id, line_ix, text, x, y, w, h, confidence, cell_width, cell_variation``.  Columns and order are window
-expressions; runs depend on the run so far and are found in one pass over a document's sorted lines.
+expressions, and no tie that they leave open changes a result; runs depend on the run so far and are found in one pass over the
+sorted lines of those documents that can have any.
 """
 
 from __future__ import annotations
 
 from bisect import insort
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +50,9 @@ _KEY = ["tl_key", "tl_null"]
 
 
 def _keyed(df: DataFrame) -> DataFrame:
-    """Adds a document key without nulls, by which all windows and joins share one partitioning."""
+    """Adds a document key without nulls, by which all windows and joins share one partitioning, unless there is one."""
+    if set(_KEY) <= set(df.columns):
+        return df
     kind = df.schema["doc_id"].dataType.simpleString()
     return df.withColumns({"tl_key": F.coalesce("doc_id", F.lit("0").cast(kind)), "tl_null": F.col("doc_id").isNull()})
 
@@ -60,7 +65,8 @@ def _grouped(lines: DataFrame) -> DataFrame:
     by_edge = Window.partitionBy(*_KEY, "tl_placed").orderBy("tl_lo", "tl_hi", "line_ix")
     reach = F.max("tl_hi").over(by_edge.rowsBetween(Window.unboundedPreceding, -1))
     df = df.withColumn("tl_new", F.when(F.col("tl_lo") - reach < COLUMN_GAP * F.col("tl_pitch"), 0).otherwise(1))
-    number = F.sum("tl_new").over(by_edge.rowsBetween(Window.unboundedPreceding, 0))
+    # Of lines of equal edges the first of the order above counts; a range has them all, in whatever order they come here.
+    number = F.sum("tl_new").over(by_edge.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     return df.withColumn("group", F.when(F.col("tl_placed"), number - 1).cast("long")).drop("tl_new", "tl_placed")
 
 
@@ -100,13 +106,17 @@ def assign_columns(lines: DataFrame) -> DataFrame:
     return _assigned(lines).drop(*_KEY)
 
 
-def reading_order(lines: DataFrame) -> DataFrame:
-    """Adds ``col_ix`` and ``n``: the lines column by column, rows of a column's own pitch, left to right."""
+def reading_order(lines: DataFrame, keyed: bool = False) -> DataFrame:
+    """Adds ``col_ix`` and ``n``: the lines column by column, rows of a column's own pitch, left to right.
+
+    ``keyed`` leaves the document key in, so that what follows needs no further shuffle.
+    """
     df = _assigned(lines).withColumn("tl_row_pitch", pitch(F.col("h"), Window.partitionBy(*_KEY, "col_ix")))
     row = F.when(finite(F.col("y")), F.round(F.col("y") / F.col("tl_row_pitch"))).otherwise(float("inf"))
     left = F.when(finite(F.col("tl_lo")), F.col("tl_lo")).otherwise(float("inf"))
-    order = Window.partitionBy(*_KEY).orderBy("col_ix", row, left, "y", "line_ix")
-    return df.withColumn("n", F.row_number().over(order).cast("long")).drop(*_KEY, "tl_lo", "tl_hi", "tl_pitch", "tl_row_pitch", "group")
+    rest = [c for c in ("w", "h", "text", "confidence", "cell_width", "cell_variation") if c in df.columns]  # runs and texts see one order
+    order = Window.partitionBy(*_KEY).orderBy("col_ix", row, left, "y", "line_ix", *rest)
+    return df.withColumn("n", F.row_number().over(order).cast("long")).drop(*([] if keyed else _KEY), "tl_lo", "tl_hi", "tl_pitch", "tl_row_pitch", "group")
 
 
 def _middle(ordered: list[float]) -> float:
@@ -126,14 +136,12 @@ def find_runs(cells: list, lefts: list[float], rights: list[float]) -> list[tupl
     for i, cell in enumerate(cells):
         if cell is None:
             continue
-        trial = list(ordered)
-        insort(trial, cell)
-        middle = _middle(trial)
-        if voters and not (middle > 0 and (trial[-1] - trial[0]) / middle <= TIGHT):
+        insort(ordered, cell)
+        middle = _middle(ordered)
+        if voters and not (middle > 0 and (ordered[-1] - ordered[0]) / middle <= TIGHT):
             stretches.append((voters, i))
-            voters, trial = [], [cell]
+            voters, ordered = [], [cell]
         voters.append(i)
-        ordered = trial
     stretches.append((voters, len(cells)))
     runs = []
     pending = stretches[::-1]
@@ -155,50 +163,86 @@ def find_runs(cells: list, lefts: list[float], rights: list[float]) -> list[tupl
     return runs
 
 
-def _runs_of(lines: pd.DataFrame) -> pd.DataFrame:
-    lines = lines.sort_values("n")
-    cells = [None if pd.isna(c) else float(c) for c in lines["cell"]]
-    found = find_runs(cells, lines["lo"].tolist(), lines["hi"].tolist())
-    return pd.DataFrame({"doc_id": lines["doc_id"].iloc[0], "run_id": range(len(found)), "start": [a for a, _ in found], "end": [b for _, b in found]})
+def _whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted batches as tables of whole documents."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        code = _codes(pa.Table.from_batches([batch]))
+        first = len(code) - int(np.argmax(code[::-1] != code[-1])) if (code != code[-1]).any() else 0
+        if first or (held and not all(held[-1][c][-1].equals(batch[c][0]) for c in _KEY)):
+            parts = [*held, batch.slice(0, first)] if first else held
+            yield pa.Table.from_batches(parts)
+            held = []
+        held.append(batch.slice(first))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _codes(table: pa.Table) -> np.ndarray:
+    """A number for each document."""
+    key = table["tl_key"].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+    return 2 * key + table["tl_null"].to_numpy().astype(np.int64)
+
+
+def _runs_in(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table in _whole(batches):
+        code = _codes(table)
+        at = np.flatnonzero(np.append(True, code[1:] != code[:-1])).tolist() + [len(code)]
+        cells = [None if c != c else c for c in table["cell"].to_numpy().tolist()]
+        lefts, rights = table["lo"].to_numpy().tolist(), table["hi"].to_numpy().tolist()
+        found = [(a, k, *run) for a, b in zip(at[:-1], at[1:], strict=True) for k, run in enumerate(find_runs(cells[a:b], lefts[a:b], rights[a:b]))]
+        first, *numbers = (pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * 4))
+        done = pa.table([table["doc_id"].take(first), *numbers], names=["doc_id", "run_id", "start", "end"])
+        yield from done.combine_chunks().to_batches()
 
 
 def monospace_runs(ordered: DataFrame) -> DataFrame:
-    """``doc_id, run_id, start, end`` (half open, from 0) of lines with ``n``."""
-    df = _edges(ordered).select(
-        "doc_id", "n", F.col("tl_lo").alias("lo"), F.col("tl_hi").alias("hi"), vote(F.col("text"), F.col("w"), F.col("cell_width"), F.col("cell_variation")).alias("cell")
-    )
+    """``doc_id, run_id, start, end`` (half open, from 0) of lines with ``n``.
+
+    A run's first three voters agree, and so do the first three of the stretch that it is cut from: documents without any three
+    successive voters that do have no run and aren't folded.
+    """
+    cell = vote(F.col("text"), F.col("w"), F.col("cell_width"), F.col("cell_variation"))
+    df = _keyed(_edges(ordered)).select("doc_id", *_KEY, "n", F.col("tl_lo").alias("lo"), F.col("tl_hi").alias("hi"), F.nanvl(cell, F.lit(None)).alias("cell"))
+    voters = Window.partitionBy(*_KEY, F.col("cell").isNull()).orderBy("n")
+    df = df.withColumns({"tl_1": F.lag("cell", 1).over(voters), "tl_2": F.lag("cell", 2).over(voters)})
+    three = [F.col(c) for c in ("cell", "tl_1", "tl_2")]
+    middle = F.greatest(F.least(*three[:2]), F.least(F.greatest(*three[:2]), three[2]))
+    tight = three[2].isNotNull() & (middle > 0) & ((F.greatest(*three) - F.least(*three)) / middle <= TIGHT)
+    df = df.withColumn("tl_any", F.max(tight).over(Window.partitionBy(*_KEY))).filter("tl_any").drop("tl_1", "tl_2", "tl_any")
     kind = ordered.schema["doc_id"].dataType.simpleString()
-    return df.groupBy("doc_id").applyInPandas(_runs_of, f"doc_id {kind}, run_id long, start long, end long")
+    return df.repartition(*_KEY).sortWithinPartitions(*_KEY, "n").mapInArrow(_runs_in, f"doc_id {kind}, run_id long, start long, end long")
 
 
 def render(ordered: DataFrame, runs: DataFrame) -> DataFrame:
     """Adds ``fenced`` and indents the text of lines in runs; runs are taken as they are."""
-    df = _edges(ordered).withColumns(
+    df = _keyed(_edges(ordered)).withColumns(
         {
             "tl_vote": vote(F.col("text"), F.col("w"), F.col("cell_width"), F.col("cell_variation")),
             "tl_cell": cell_width(F.col("text"), F.col("w"), F.col("cell_width")),
         }
     )
-    r = runs.select(F.col("doc_id").alias("d"), "run_id", "start", "end")
-    df = df.join(r, df["doc_id"].eqNullSafe(r["d"]) & (df["n"] > r["start"]) & (df["n"] <= r["end"]), "left").drop("d", "start", "end")
-    left = lambda on: F.min(F.when(on & finite(F.col("tl_lo")), F.col("tl_lo")))
-    voted, any_cell = F.col("tl_vote").isNotNull(), F.col("tl_cell").isNotNull()
-    stats = df.filter(F.col("run_id").isNotNull()).groupBy(F.col("doc_id").alias("d"), F.col("run_id").alias("r"))
-    stats = stats.agg(F.median("tl_vote").alias("v"), left(voted).alias("v_left"), F.median("tl_cell").alias("c"), left(any_cell).alias("c_left"))
+    r = _keyed(runs).select(F.col("tl_key").alias("k"), F.col("tl_null").alias("z"), "run_id", "start", "end")
+    inside = (df["tl_key"] == r["k"]) & (df["tl_null"] == r["z"]) & (df["n"] > r["start"]) & (df["n"] <= r["end"])
+    df = df.join(r, inside, "left").drop("k", "z", "start", "end")
+    run, on = Window.partitionBy(*_KEY, "run_id"), F.col("run_id").isNotNull()
+    left = lambda c: F.min(F.when(on & F.col(c).isNotNull() & finite(F.col("tl_lo")), F.col("tl_lo"))).over(run)
+    middle = lambda c: F.median(F.when(on, F.col(c))).over(run)
+    df = df.withColumns({"v": middle("tl_vote"), "v_left": left("tl_vote"), "c": middle("tl_cell"), "c_left": left("tl_cell")})
     voters = F.col("v").isNotNull()
-    stats = stats.select("d", "r", F.when(voters, F.col("v")).otherwise(F.col("c")).alias("cell"), F.when(voters, F.col("v_left")).otherwise(F.col("c_left")).alias("left"))
-    df = df.join(stats, df["doc_id"].eqNullSafe(stats["d"]) & (df["run_id"] == stats["r"]), "left")
+    df = df.withColumns({"cell": F.when(voters, F.col("v")).otherwise(F.col("c")), "left": F.when(voters, F.col("v_left")).otherwise(F.col("c_left"))})
     steps = F.when(F.col("cell") != 0, (F.col("tl_lo") - F.col("left")) / F.col("cell"))
     indent = F.when(finite(steps), F.least(F.lit(MAX_INDENT), F.greatest(F.lit(0), F.round(steps)))).otherwise(0).cast("int")
     fenced = F.col("cell").isNotNull()
-    return df.withColumns({"fenced": fenced, "text": F.when(fenced, F.concat(F.repeat(F.lit(" "), indent), "text")).otherwise(F.col("text"))}).drop(
-        "d", "r", "cell", "left", "run_id", "tl_lo", "tl_hi", "tl_vote", "tl_cell"
-    )
+    df = df.withColumns({"fenced": fenced, "text": F.when(fenced, F.concat(F.repeat(F.lit(" "), indent), "text")).otherwise(F.col("text"))})
+    return df.select(*ordered.columns, "fenced")
 
 
 def replace_runs(ordered: DataFrame, runs: DataFrame, second: DataFrame) -> DataFrame:
     """Lines of a run replaced by those of a second pass (``doc_id, run_id, n, text, x, y, w, h, ...``), if there are as many."""
-    fields = [c for c in ordered.columns if c not in ("doc_id", "n", "line_ix", "col_ix")]
+    fields = [c for c in ordered.columns if c not in ("doc_id", "n", "line_ix", "col_ix", *_KEY)]
     r = runs.select(F.col("doc_id").alias("d"), "run_id", "start", "end")
     counts = second.groupBy(F.col("doc_id").alias("e"), F.col("run_id").alias("q")).agg(F.count(F.lit(1)).alias("many"))
     fit = r.join(counts, (r["d"] == counts["e"]) & (r["run_id"] == counts["q"])).filter(F.col("many") == F.col("end") - F.col("start"))
@@ -214,16 +258,38 @@ def replace_runs(ordered: DataFrame, runs: DataFrame, second: DataFrame) -> Data
 
 def layout(lines: DataFrame) -> DataFrame:
     """Rendered lines: ``n``, indented ``text``, ``fenced``."""
-    ordered = reading_order(lines)
+    return _laid_out(lines).drop(*_KEY)
+
+
+def _laid_out(lines: DataFrame) -> DataFrame:
+    ordered = reading_order(lines, keyed=True)
     return render(ordered, monospace_runs(ordered))
 
 
-def fenced_text(rendered: DataFrame) -> DataFrame:
-    """``doc_id, text``: the lines joined, each fenced stretch between fence lines."""
-    order = Window.partitionBy("doc_id").orderBy("n")
+def laid_out_text(lines: DataFrame) -> DataFrame:
+    """``doc_id, text``: ``fenced_text`` of the layout, without another shuffle."""
+    return fenced_text(_laid_out(lines))
+
+
+def fence_pieces(rendered: DataFrame) -> DataFrame:
+    """Adds ``tl_piece``: a line with the fence lines before and behind it."""
+    order = Window.partitionBy(*document_key(rendered)).orderBy("n")
     before, after = F.lag("fenced", 1, False).over(order), F.lead("n").over(order)
     opens = F.when(F.col("fenced") != before, F.lit("```\n")).otherwise("")
     closes = F.when(F.col("fenced") & after.isNull(), F.lit("\n```")).otherwise("")
-    pieces = rendered.withColumn("tl_piece", F.concat(opens, "text", closes))
-    grouped = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "tl_piece"))).alias("tl_all"))
-    return grouped.select("doc_id", F.array_join(F.transform("tl_all", lambda p: p["tl_piece"]), "\n").alias("text"))
+    return rendered.withColumn("tl_piece", F.concat(opens, "text", closes))
+
+
+def joined_pieces() -> Column:
+    """A document's pieces in one text: an aggregate."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "tl_piece"))), lambda p: p["tl_piece"]), "\n")
+
+
+def document_key(df: DataFrame) -> list[str]:
+    """The columns that tell documents apart, as the rows are partitioned if they have the key."""
+    return [*_KEY, "doc_id"] if set(_KEY) <= set(df.columns) else ["doc_id"]
+
+
+def fenced_text(rendered: DataFrame) -> DataFrame:
+    """``doc_id, text``: the lines joined, each fenced stretch between fence lines."""
+    return fence_pieces(rendered).groupBy(*document_key(rendered)).agg(joined_pieces().alias("text")).select("doc_id", "text")

@@ -530,7 +530,7 @@ def geometry_roundtrip(spark, sf_dir):
 
 @query()
 def monospace_runs(spark, sf_dir):
-    return layout.monospace_runs(layout.reading_order(boxes(spark, sf_dir)))
+    return layout.monospace_runs(layout.reading_order(boxes(spark, sf_dir), keyed=True))
 
 
 @query()
