@@ -535,7 +535,7 @@ def monospace_runs(spark, sf_dir):
 
 @query()
 def layout_text(spark, sf_dir):
-    return layout.fenced_text(layout.layout(boxes(spark, sf_dir)))
+    return layout.laid_out_text(boxes(spark, sf_dir))
 
 
 @query("""SELECT conv_id AS doc_id, string_agg(piece, chr(10) ORDER BY turn) AS text FROM (
