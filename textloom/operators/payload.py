@@ -4,36 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.tokens import base_name, percent, saved_tokens
 from textloom.operators.geometry import corners
-from textloom.operators.redact import redact
+from textloom.operators.redact import redacted_state
 from textloom.operators.rules import BUILTIN, Rule
 
 VERSION = "1.0"
 
 
-def line_array(lines: DataFrame, key: str = "doc_id", rules: Sequence[Rule] | None = BUILTIN) -> DataFrame:
-    """``key, lines``: numbered lines with redacted text, integer box and confidence.
+def line_array(lines: DataFrame, key: str | Sequence[str] = "doc_id", rules: Sequence[Rule] | None = BUILTIN, more: Sequence[Column] = ()) -> DataFrame:
+    """``key, lines``: numbered lines with redacted text, integer box and confidence; ``more`` are named aggregates of the same lines.
 
     Lines are redacted joined and split again; where a rule ate a line end and the numbers differ, one by one.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     item = F.struct("n", "text", corners(*[F.col(c) for c in ("x", "y", "w", "h")]).alias("bbox"), F.col("confidence").cast("double").alias("confidence"))
-    docs = lines.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    docs = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("lines"), *more)
     if rules is None:
-        return docs.select(key, F.col("items").alias("lines"))
-    docs = docs.withColumn("whole", F.array_join(F.transform("items", lambda i: i["text"]), "\n"))
-    docs = redact(docs, "whole", rules).withColumn("joined", F.split("redacted", "\n", -1)).drop("redactions", "redacted", "whole")
-    odd = docs.filter(F.size("joined") != F.size("items"))
-    each = redact(odd.select(key, F.explode("items").alias("i")).withColumn("t", F.col("i.text")), "t", rules)
-    single = each.groupBy(F.col(key).alias("tl_key")).agg(F.array_sort(F.collect_list(F.struct(F.col("i.n").alias("n"), "redacted"))).alias("single"))
-    docs = docs.join(single, docs[key] == single["tl_key"], "left")
-    texts = F.when(F.size("joined") == F.size("items"), F.col("joined")).otherwise(F.transform("single", lambda s: s["redacted"]))
-    docs = docs.withColumn("texts", texts)
-    merged = F.zip_with("items", "texts", lambda i, t: F.struct(i["n"].alias("n"), t.alias("text"), i["bbox"].alias("bbox"), i["confidence"].alias("confidence")))
-    return docs.select(key, merged.alias("lines"))
+        return docs
+    whole = F.array_join(F.transform("lines", lambda i: i["text"]), "\n")
+    docs = docs.withColumn("tl_joined", F.split(redacted_state(whole, rules)["t"], "\n", -1))
+    each = F.transform("lines", lambda i: redacted_state(i["text"], rules)["t"])
+    docs = docs.withColumn("tl_joined", F.when(F.size("tl_joined") == F.size("lines"), F.col("tl_joined")).otherwise(each))
+    merged = F.zip_with("lines", "tl_joined", lambda i, t: F.struct(i["n"].alias("n"), t.alias("text"), i["bbox"].alias("bbox"), i["confidence"].alias("confidence")))
+    return docs.withColumn("lines", merged).drop("tl_joined")
 
 
 def envelope(results: DataFrame, order: str | None = None) -> DataFrame:

@@ -22,12 +22,12 @@ RESULT = ["file", "place", "text", "lines", "redactions", "image_tokens", "text_
 
 
 def laid_out(lines: DataFrame, second: DataFrame | None = None) -> DataFrame:
-    """Lines in reading order with ``n``, indented ``text`` and ``fenced``.
+    """Lines in reading order with ``n``, indented ``text`` and ``fenced``, and their document key.
 
     Fixed-width runs are found once.  Lines of a second pass (``doc_id, run_id, n, ...``) take the place of a run's lines if there are as
     many, and are rendered with the runs of the first.
     """
-    ordered = layout.reading_order(lines)
+    ordered = layout.reading_order(lines, keyed=True)
     runs = layout.monospace_runs(ordered)
     if second is not None:
         ordered = layout.replace_runs(ordered, runs, second)
@@ -62,10 +62,9 @@ def image_run(spark: SparkSession, images: DataFrame, lines: DataFrame, options:
     """
     rules = rules_of(spark, options)
     rendered = laid_out(usable_lines(lines, options.min_confidence), second)
-    texts = layout.fenced_text(rendered).withColumnRenamed("doc_id", "file")
-    arrays = payload.line_array(rendered, "doc_id", rules).withColumnRenamed("doc_id", "file")
+    read = payload.line_array(layout.fence_pieces(rendered), layout.document_key(rendered), rules, [layout.joined_pieces().alias("text")])
     fine = F.col("error").isNull()
-    df = images.join(texts, "file", "left").join(arrays, "file", "left")
+    df = images.join(read.select(F.col("doc_id").alias("file"), "text", "lines"), "file", "left")
     df = df.withColumns({"text": F.when(fine, F.coalesce("text", F.lit(""))), "image_tokens": F.when(fine, image_tokens(F.col("width"), F.col("height")))})
     return _noted(_redacted(df, rules), "image", options, path)
 
