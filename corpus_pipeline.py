@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, near duplicates, repeated passages, source mix and packing, in this order.
 
 Each stage works on all rows that the one before kept; what it returns is written as Parquet and read again.  The
-first four return the columns of documents, the last one the pieces of the packed sequences.
+first four return the columns of documents, the last one the pieces of the packed sequences.  Each begins with the memory
+that the one before leaves: stages differ in whether the JVM or Python needs it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import jaccard_join, mixing, packing, substring_dedup, toxicity
 from textloom.llm.tokens import tokenizer_path
-from textloom.session import scratch, ship
+from textloom.session import give_back, scratch, ship
 
 
 def _lengths(docs: DataFrame) -> DataFrame:
@@ -23,17 +24,20 @@ def _lengths(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score of one half or more) go."""
+    give_back(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.reject_toxic(docs, toxicity.train(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
+    give_back(spark)
     return jaccard_join.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in passages that occur twice go; a document that loses none keeps its text unchanged, white space included."""
+    give_back(spark)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     cut = substring_dedup.remove_repeats(docs, keep_text=True, carry=others or None)
     fields = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")} | {c: F.col(f"tl_carry.`{c}`") for c in others}
@@ -42,11 +46,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; what is taken in part is cut to the words taken."""
+    give_back(spark)
     return _lengths(mixing.take(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences of 2048 tokens."""
+    give_back(spark)
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
