@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.session import checkpointed
+from textloom.session import checkpointed, sweep
 
 MAX_ROUNDS = 60
 
@@ -77,5 +77,6 @@ def components(links: DataFrame) -> DataFrame:
         last = now
     else:
         raise RuntimeError("components didn't settle")
+    sweep(links.sparkSession)
     roots = tree.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return tree.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)

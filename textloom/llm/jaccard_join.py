@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from textloom.llm import exchange as X
 from textloom.llm.components import components
 from textloom.llm.hashing import U, Words, mix, prefix, release, window, windows
-from textloom.session import checkpointed, scratch
+from textloom.session import checkpointed, scratch, sweep
 
 SHINGLE = 5
 #: Percent of the union that two linked sets share at least.
@@ -383,6 +383,7 @@ def linked(keys: DataFrame, sets: DataFrame, twins: DataFrame, piece: int = PIEC
     proposed = checkpointed(keys.filter("id > b").select(F.col("b").alias("a"), F.col("id").alias("b")).distinct())
     keys = keys.select("key", "id")
     links = checkpointed(verified(proposed, sets))
+    sweep(keys.sparkSession)
     tree = components(links.unionByName(twins))
     tried, tasks, most = proposed, None, CLOSEST
     while True:
@@ -391,6 +392,7 @@ def linked(keys: DataFrame, sets: DataFrame, twins: DataFrame, piece: int = PIEC
             size = tasks.agg(F.sum(F.octet_length("sketch") + 64)).first()[0] or 0
         buckets = max(X.partitions(keys.sparkSession), -(-size // BUCKET_BYTES))
         bucket = F.pmod(F.xxhash64("task"), F.lit(buckets))
+        sweep(keys.sparkSession)
         found = checkpointed(tasks.groupBy(bucket).applyInArrow(X.lean(_propose(most)), "a long, b long").distinct())
         proposed = checkpointed(found.filter("a is not null").join(tried, ["a", "b"], "left_anti"))
         if proposed.isEmpty():
