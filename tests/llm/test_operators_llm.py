@@ -102,6 +102,21 @@ def test_suffix_index(spark, docs, shape):
     assert suffix_index.remove_long_matches(frame(spark, [], True)).count() == 0
 
 
+def test_suffix_index_counts_bytes_and_not_words(spark):
+    rng = random.Random(8)
+    passage = lambda n, size: " ".join(rng.choices(string.ascii_lowercase, k=n - 1)) + " " + "".join(rng.choices(string.ascii_lowercase, k=size - 2 * n + 2))
+    for words in (51, 60, 120):
+        for size in (399, 400):
+            p = passage(words, size)
+            assert (len(p.split()), len(p)) == (words, size)
+            docs = spark.createDataFrame([(0, f"A{p}B"), (1, f"C {p}\nD"), (2, "E" * 399)], "doc_id long, text string")
+            got = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_index.remove_long_matches(docs).collect()}
+            kept = [f"A{p}B", f"C {p}\nD"] if size < 400 else ["AB", "C \nD"]
+            for i, text in enumerate(kept):
+                assert got[i] == (400 * (size == 400), int(size == 400), hashlib.sha256(text.encode()).hexdigest())
+            assert got[2][0] == 0
+
+
 def test_logarithmic_family_marks_both_sides():
     rng = np.random.default_rng(1)
     family, all_k, all_f, batch_of = suffix_index.LogarithmicFamily(), [], [], []
